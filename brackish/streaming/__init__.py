@@ -1,0 +1,5 @@
+"""Batch only: the capabilities rebuilt here have no streaming part.
+
+The column functions in `brackish.functions` hold no state and can be used on
+a streaming DataFrame as they are.
+"""
