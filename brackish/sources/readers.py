@@ -30,7 +30,6 @@ SITE_SCHEMA = (
     "GRP_LOCATION struct<LOCATION_LAT: string, LOCATION_LONG: string, LOCATION_ELEV: string>, "
     "GRP_CLIM_AVG struct<CLIMATE_KOEPPEN: string, MAT: string, MAP: string>"
 )
-# Half a million characters hold any real header line of these files.
 _SITE_PART = r"([A-Z]{2}-[A-Za-z0-9]{3})"
 
 

@@ -15,7 +15,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def should_write(spark: SparkSession, path: str, force: bool | None = None) -> bool:
+def needs_write(spark: SparkSession, path: str, force: bool | None = None) -> bool:
     """False when the output is there already and neither `force` nor OVERWRITE=1 asks for it again."""
     if force is None:
         force = os.environ.get("OVERWRITE", "").lower() in ("1", "true", "yes")
@@ -24,15 +24,15 @@ def should_write(spark: SparkSession, path: str, force: bool | None = None) -> b
 
 def write_once(df: DataFrame, path: str, force: bool | None = None, by: Sequence[str] = ()) -> bool:
     """Write Parquet unless it exists; returns whether anything was written."""
-    if not should_write(df.sparkSession, path, force):
+    if not needs_write(df.sparkSession, path, force):
         return False
     df.write.mode("overwrite").partitionBy(*by).parquet(path) if by else df.write.mode("overwrite").parquet(path)
     return True
 
 
 def write_sites(df: DataFrame, path: str, site: str = "site") -> None:
-    """One folder per site, rows spread over files by a second key so that a large site is written by many tasks."""
-    df.write.mode("overwrite").partitionBy(site).parquet(path)
+    """One folder per site; adaptive rebalancing lets many tasks write a large site."""
+    df.hint("rebalance", site).write.mode("overwrite").partitionBy(site).parquet(path)
 
 
 def write_pixels(df: DataFrame, path: str, site: str = "site", date: str = "date") -> None:
