@@ -282,7 +282,7 @@ def distance_to_lines_km(
     # cells; whatever is nearer must be covered in longitude as well, with
     # half a stretch to spare for its middle.
     shrink = F.greatest(F.cos(F.radians(F.col("_pid._la"))), F.lit(0.01))
-    up = F.ceil(F.log(F.lit(4.0), F.lit(2 * 2**0.5 + 0.5) / shrink)).cast("int")
+    up = F.ceil(F.log2(F.lit(2 * 2**0.5 + 0.5) / shrink) / 2).cast("int")
     pairs = _grid_candidates(spots, cut, sizes, up, 2)
     rad = 3.141592653589793 / 180.0 * EARTH_KM
     cos = F.cos(F.radians(F.col("_pid._la")))
