@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brackish.operators import blocks, joins, series
@@ -15,6 +15,11 @@ MIN_R = 0.3
 MIN_SPREAD = 1e-3
 
 
+def pair_corr(a: str, b: str) -> Column:
+    """Correlation that is null for a constant side (`corr` raises there in ANSI mode)."""
+    return F.try_divide(F.regr_sxy(a, b), F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b)))
+
+
 def calibrate(
     primary: DataFrame,
     secondary: DataFrame,
@@ -36,7 +41,7 @@ def calibrate(
         F.count(F.lit(1)).alias("n_pairs"),
         F.regr_slope(a, b).alias("slope"),
         F.regr_intercept(a, b).alias("intercept"),
-        F.corr(a, b).alias("r"),
+        pair_corr(a, b).alias("r"),
         F.stddev_samp(b).alias("_sd"),
     )
     sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nl")).join(
