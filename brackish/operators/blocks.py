@@ -84,15 +84,27 @@ def with_neighbours(
         return F.when(F.col(c).isNotNull(), F.struct(F.col(slot).alias("s"), F.col(c).alias("v")))
 
     df = df.withColumn(_BLOCK, block_of(F.col(slot), length))
-    ends = df.groupBy(*part).agg(
-        *[F.max(at(c)).alias(f"_hi_{c}") for c in cols], *[F.min(at(c)).alias(f"_lo_{c}") for c in cols]
-    )
+    ends = []
+    for c in cols:
+        known = F.when(F.col(c).isNotNull(), F.col(slot))
+        # Plain columns, not a maximum of structs: those would need a sorted aggregation.
+        ends += [F.max(known).alias(f"_hs_{c}"), F.max_by(c, known).alias(f"_hv_{c}")]
+        ends += [F.min(known).alias(f"_ls_{c}"), F.min_by(c, known).alias(f"_lv_{c}")]
+
+    def end(side: str, c: str) -> Column:
+        s = F.col(f"_{side}s_{c}")
+        return F.when(s.isNotNull(), F.struct(s.alias("s"), F.col(f"_{side}v_{c}").alias("v")))
+
     before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*keys).orderBy(F.desc(_BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(
-        *part,
-        *[F.last(f"_hi_{c}", ignorenulls=True).over(before).alias(f"_in_{c}") for c in cols],
-        *[F.last(f"_lo_{c}", ignorenulls=True).over(after).alias(f"_out_{c}") for c in cols],
+    carry = (
+        df.groupBy(*part)
+        .agg(*ends)
+        .select(
+            *part,
+            *[F.last(end("h", c), ignorenulls=True).over(before).alias(f"_in_{c}") for c in cols],
+            *[F.last(end("l", c), ignorenulls=True).over(after).alias(f"_out_{c}") for c in cols],
+        )
     )
     up = Window.partitionBy(*part).orderBy(slot).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*part).orderBy(F.desc(slot)).rowsBetween(Window.unboundedPreceding, 0)
@@ -172,51 +184,93 @@ def lagged(col: str) -> tuple[int, Callable[[object], Column]]:
 
 
 def group_quantiles(
-    df: DataFrame, keys: Sequence[str], col: str, probs: dict[str, float], bins: int = 2048
+    df: DataFrame,
+    keys: Sequence[str],
+    col: str,
+    probs: dict[str, float],
+    bins: int = 2048,
+    direct: int = 1_000_000,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per key, without gathering a key.
 
-    Equal values collapse to counts first; the counts are then placed into
-    value bins, bins are ranked by their totals and values only inside the
-    bins. `percentile` would hold every distinct value of a key in one task.
+    Every wanted rank starts with the value range of its key. While a range
+    holds more than `direct` rows it is cut into `bins` equal parts, counted
+    with map-side combining, and narrowed to the part that holds the rank;
+    what is left is counted by distinct value and ranked. Only narrow scans
+    and small shuffles, whereas `percentile` holds every distinct value of a
+    key in one task. Ranges tighten to values that occur, so equal values end
+    the search at once.
     """
     if not keys:
         whole = df.withColumn("_whole", F.lit(1))
-        return group_quantiles(whole, ["_whole"], col, probs, bins).drop("_whole")
-    df = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
-    range_ = settle(
-        df.groupBy(*keys).agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.count("_v").alias("_n"))
+        return group_quantiles(whole, ["_whole"], col, probs, bins, direct).drop("_whole")
+    keys = list(keys)
+    rows = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
+    span = settle(
+        rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_n"))
     )
-    share = F.try_divide(F.col("_v") - F.col("_min"), F.col("_max") - F.col("_min"))
-    counted = df.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    counted = counted.join(range_, list(keys)).withColumn("_bin", F.coalesce(F.floor(share * bins), F.lit(0)))
-    totals = counted.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_t"))
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_bin", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.join(offsets, [*keys, "_bin"]).withColumn(
-        "_end", F.col("_before") + F.sum("_c").over(inside)
-    )
-    start = F.col("_end") - F.col("_c")
 
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when((start <= rank) & (rank < F.col("_end")), F.col("_v")))
+    def at(p: float) -> Column:
+        return F.lit(p) * (F.col("_n") - 1)
 
-    picked = []
+    ranks = F.array_distinct(F.array(*[end(at(p)) for p in probs.values() for end in (F.floor, F.ceil)]))
+    state = span.select(
+        *keys, "_lo", "_hi", "_n", F.lit(0).cast("long").alias("_before"), F.col("_n").alias("_m"), F.explode(ranks).alias("_rank")
+    )
+    part = [*keys, "_lo", "_hi", "_before"]
+    wide = (F.col("_m") > direct) & (F.col("_lo") < F.col("_hi"))
+    while not state.where(wide).isEmpty():
+        share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        counted = (
+            rows.join(state.where(wide).select(*part).distinct(), keys)
+            .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+            .groupBy(*part, F.least(F.floor(share * bins), F.lit(bins - 1)).alias("_bin"))
+            .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        )
+        below = Window.partitionBy(*part).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counted.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(below), F.lit(0)))
+        hit = (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_c"))
+        narrowed = (
+            state.where(wide)
+            .join(placed, part)
+            .where(hit)
+            .select(
+                *keys,
+                F.col("_a").alias("_lo"),
+                F.col("_b").alias("_hi"),
+                "_n",
+                F.col("_start").alias("_before"),
+                F.col("_c").alias("_m"),
+                "_rank",
+            )
+        )
+        state = settle(state.where(~wide).unionByName(narrowed))
+    unsolved = F.col("_lo") < F.col("_hi")
+    counted = (
+        rows.join(state.where(unsolved).select(*part).distinct(), keys)
+        .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        .groupBy(*part, "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    upto = Window.partitionBy(*part).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
+    hit = (F.col("_rank") >= F.col("_end") - F.col("_c")) & (F.col("_rank") < F.col("_end"))
+    ranked = state.where(unsolved).join(placed, part).where(hit).select(*keys, "_n", "_rank", "_v")
+    ranked = ranked.unionByName(state.where(~unsolved).select(*keys, "_n", "_rank", F.col("_lo").alias("_v")))
+    ends = []
     for name, p in probs.items():
-        where = F.lit(p) * (F.col("_n") - 1)
-        picked += [
-            value_at(F.floor(where)).alias(f"_lo_{name}"),
-            value_at(F.ceil(where)).alias(f"_hi_{name}"),
-            F.max(where - F.floor(where)).alias(f"_f_{name}"),
+        ends += [
+            F.max(F.when(F.col("_rank") == end(at(p)), F.col("_v"))).alias(f"_{tag}_{name}")
+            for tag, end in (("lo", F.floor), ("hi", F.ceil))
         ]
-    ends = ranked.groupBy(*keys).agg(*picked)
-    return ends.select(
-        *keys,
-        *[
-            (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n)
-            for n in probs
-        ],
+        ends.append(F.max(at(p) - F.floor(at(p))).alias(f"_f_{name}"))
+    return (
+        ranked.groupBy(*keys)
+        .agg(*ends)
+        .select(
+            *keys,
+            *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in probs],
+        )
     )
 
 

@@ -36,17 +36,17 @@ def calibrate(
     """
     left = primary.where(F.col(a).isNotNull()).select(*keys, blocks.day_slot(date).alias("t"), a)
     right = secondary.where(F.col(b).isNotNull()).select(*keys, blocks.day_slot(date).alias("t"), b)
-    pairs = joins.asof_nearest(left, right, keys, "t", tolerance_days, [b]).where(F.col(b).isNotNull())
+    pairs = joins.asof_nearest(left, right, keys, "t", tolerance_days, [b])
+    # The regression functions skip rows without a partner, which still count as points of the left side.
     fit = pairs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_pairs"),
+        F.count(F.lit(1)).alias("_nl"),
+        F.count(b).alias("n_pairs"),
         F.regr_slope(a, b).alias("slope"),
         F.regr_intercept(a, b).alias("intercept"),
         pair_corr(a, b).alias("r"),
         F.stddev_samp(b).alias("_sd"),
     )
-    sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nl")).join(
-        right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr")), list(keys), "full"
-    )
+    fit = fit.join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr")), list(keys), "full")
     enough = (
         (F.col("_nl") >= MIN_PAIRS)
         & (F.col("_nr") >= MIN_PAIRS)
@@ -54,7 +54,7 @@ def calibrate(
         & (F.col("_sd") > MIN_SPREAD)
         & (F.abs("r") >= MIN_R)
     )
-    return sizes.join(fit, list(keys), "left").select(
+    return fit.select(
         *keys,
         F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"),
         "slope",

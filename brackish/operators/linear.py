@@ -62,7 +62,8 @@ def fold_grams(df: DataFrame, features: Sequence[str], target: str, keys: Sequen
     """One row of sums per key combination, from complete rows."""
     cols = [*features, target]
     rows = df.dropna(subset=cols).select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
-    means = rows.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    # Any typical value serves as the centre: it shifts the sums to keep their digits and cancels out later.
+    means = rows.limit(1000).agg(*[F.avg(c).alias(c) for c in cols]).first()
     centre = {c: float(means[c] or 0.0) for c in cols}
     shifted = {c: F.col(c) - F.lit(centre[c]) for c in cols}
     table = rows.groupBy(*keys).agg(*_sums(shifted, features, target))
@@ -193,15 +194,20 @@ def fit_folds(sums: DataFrame, keys: Sequence[str], features: Sequence[str], mod
     return sums.select(*keys, "n", "sx", "sxx", "sxy", "sy").mapInPandas(run, schema)
 
 
-def apply_fits(df: DataFrame, fits: DataFrame, grams: Grams, keys: Sequence[str]) -> DataFrame:
-    """Rows with the prediction of every model whose fit carries their key, in column `pred`."""
+def apply_fits(
+    df: DataFrame, fits: DataFrame, grams: Grams, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Complete rows with the prediction of every model whose fit carries their key, in column `pred`.
+
+    With `how="left"` all rows stay, unpredictable ones with a null.
+    """
     linear = F.col("intercept") + F.lit(grams.centre[grams.target])
     for i, f in enumerate(grams.features):
         linear = linear + F.col("beta")[i] * (F.col(f) - F.lit(grams.centre[f]))
-    rows = df.dropna(subset=grams.features)
+    rows = df if how == "left" else df.dropna(subset=grams.features)
     if not keys:
         rows, fits, keys = rows.withColumn("_all", F.lit(1)), fits.withColumn("_all", F.lit(1)), ["_all"]
-    return rows.join(settle(fits), list(keys)).withColumn("pred", linear).drop("beta", "intercept", "_all")
+    return rows.join(settle(fits), list(keys), how).withColumn("pred", linear).drop("beta", "intercept", "_all")
 
 
 def cross_validate(

@@ -359,9 +359,7 @@ def gapfill_model(
     days = series.dense_daily(joined, keys, date).withColumn("_slot", day_slot(date))
     filled = series.interpolate(days, keys, "_slot", features, limit)
     ready = filled.select(*keys, date, col, *[F.col(f"{f}_int").alias(f) for f in features])
-    predicted = linear.apply_fits(ready, fits, grams, keys).select(*keys, date, "pred")
-    both = days.select(*keys, date, col).join(predicted, [*keys, date], "left")
-    return both.select(
+    return linear.apply_fits(ready, fits, grams, keys, "left").select(
         *keys,
         date,
         F.col(col).alias(f"{col}_measured"),

@@ -186,7 +186,7 @@ def tide_features(df: DataFrame, keys: Sequence[str], ts: str = "ts", col: str =
     A level counts as inundating above the site's 90 % quantile; an unknown
     level counts as dry.
     """
-    level = upsample_hourly(df, keys, ts, col).withColumn("_slot", blocks.step_slot(ts, 1800))
+    level = settle(upsample_hourly(df, keys, ts, col).withColumn("_slot", blocks.step_slot(ts, 1800)))
     q90 = settle(blocks.group_quantiles(level, keys, col, {"_q90": 0.9}))
     wet = F.when(F.col(col) > F.col("_q90"), 1.0).otherwise(0.0)
     level = level.join(q90, list(keys), "left").withColumn("_wet", wet)

@@ -104,12 +104,13 @@ def test_densify_fixed_period_drops_rows_outside(spark):
     assert column(out, "x", "date") == [None] * 8 + [2.0] + [None] * 2
 
 
-def test_quantiles_match_numpy(spark):
+@pytest.mark.parametrize("direct", [10, 1_000_000])
+def test_quantiles_match_numpy(spark, direct):
     rng = np.random.default_rng(1)
     data = {"a": rng.normal(290, 5, 501), "b": np.repeat([1.0, 2.0, 2.0, 7.0], 5), "c": np.array([4.0]), "d": rng.exponential(1, 64) ** 4}
     rows = [(k, float(x)) for k, xs in data.items() for x in xs] + [("a", None)]
     df = spark.createDataFrame(rows, "site string, x double")
-    got = {r["site"]: r for r in blocks.group_quantiles(df, ["site"], "x", {"p10": 0.1, "p50": 0.5, "p99": 0.99}, bins=16).collect()}
+    got = {r["site"]: r for r in blocks.group_quantiles(df, ["site"], "x", {"p10": 0.1, "p50": 0.5, "p99": 0.99}, 16, direct).collect()}
     for k, xs in data.items():
         np.testing.assert_allclose([got[k]["p10"], got[k]["p50"], got[k]["p99"]], np.quantile(xs, [0.1, 0.5, 0.99]), rtol=1e-12)
     total = blocks.group_quantiles(df, [], "x", {"p50": 0.5}).first()["p50"]
