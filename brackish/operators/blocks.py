@@ -47,21 +47,17 @@ def densify(
     lo: int | None = None,
     hi: int | None = None,
     length: int = BLOCK,
+    keep_block: bool = False,
 ) -> DataFrame:
     """One row per key and slot from the first to the last slot (or from `lo` to `hi`).
 
     `(keys, slot)` is unique in `df`. The calendar is laid out block by block
-    and merged with the rows by one aggregation on that partitioning, so the
-    block windows that follow need no further shuffle.
+    and merged with the rows by one aggregation on that partitioning. With
+    `keep_block` the block column stays, and with it the partitioning, so
+    that `with_neighbours` needs no further shuffle of the dense rows.
     """
     values = [c for c in df.columns if c not in keys and c != slot]
-    span = df.groupBy(*keys).agg(
-        F.min(slot).alias("_lo") if lo is None else F.lit(lo).cast("long").alias("_lo"),
-        F.max(slot).alias("_hi") if hi is None else F.lit(hi).cast("long").alias("_hi"),
-    )
-    blocks = span.withColumn(
-        _BLOCK, F.explode(F.sequence(block_of(F.col("_lo"), length), block_of(F.col("_hi"), length)))
-    )
+    blocks = _calendar_blocks(df, keys, slot, lo, hi, length)
     first = F.greatest("_lo", F.col(_BLOCK) * length)
     last = F.least("_hi", (F.col(_BLOCK) + 1) * length - 1)
     calendar = blocks.select(*keys, F.col("_lo"), F.col("_hi"), F.explode(F.sequence(first, last)).alias(slot))
@@ -71,25 +67,73 @@ def densify(
     merged = both.groupBy(*keys, _BLOCK, slot).agg(
         *[F.first(c, ignorenulls=True).alias(c) for c in values], F.max("_on").alias("_on")
     )
-    return merged.where("_on").select(*keys, slot, *values)
+    return merged.where("_on").select(*keys, slot, *values, *([_BLOCK] if keep_block else []))
+
+
+def _calendar_blocks(
+    df: DataFrame, keys: Sequence[str], slot: str, lo: int | None, hi: int | None, length: int
+) -> DataFrame:
+    """The blocks each key's calendar touches, with its first and last slot."""
+    span = df.groupBy(*keys).agg(
+        F.min(slot).alias("_lo") if lo is None else F.lit(lo).cast("long").alias("_lo"),
+        F.max(slot).alias("_hi") if hi is None else F.lit(hi).cast("long").alias("_hi"),
+    )
+    return span.withColumn(
+        _BLOCK, F.explode(F.sequence(block_of(F.col("_lo"), length), block_of(F.col("_hi"), length)))
+    )
+
+
+def dense_neighbours(
+    df: DataFrame,
+    keys: Sequence[str],
+    slot: str,
+    cols: Sequence[str],
+    lo: int | None = None,
+    hi: int | None = None,
+    length: int = BLOCK,
+) -> DataFrame:
+    """`densify` and `with_neighbours` in one: dense rows are made, shuffled and sorted once.
+
+    Block summaries come from the sparse rows and one empty row per block,
+    instead of from a second copy of the dense axis.
+    """
+    dense = densify(df, keys, slot, lo, hi, length, keep_block=True)
+    empty = _calendar_blocks(df, keys, slot, lo, hi, length).select(*keys, (F.col(_BLOCK) * length).alias(slot))
+    sparse = df.select(*keys, slot, *cols)
+    for bound, inside in ((lo, F.col(slot) >= F.lit(lo)), (hi, F.col(slot) <= F.lit(hi))):
+        sparse = sparse.where(inside) if bound is not None else sparse
+    return with_neighbours(dense, keys, slot, cols, length, sparse.unionByName(empty, allowMissingColumns=True))
 
 
 def with_neighbours(
-    df: DataFrame, keys: Sequence[str], slot: str, cols: Sequence[str], length: int = BLOCK
+    df: DataFrame,
+    keys: Sequence[str],
+    slot: str,
+    cols: Sequence[str],
+    length: int = BLOCK,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """Add `{c}__prev` and `{c}__next`: structs (s, v) of the nearest known value at or before/after."""
+    """Add `{c}__prev` and `{c}__next`: structs (s, v) of the nearest known value at or before/after.
+
+    `known` may give the same known values more cheaply than `df`; the block
+    summaries come from it, so it has at least one row in every block of `df`.
+    """
     part = [*keys, _BLOCK]
 
     def at(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(F.col(slot).alias("s"), F.col(c).alias("v")))
 
-    df = df.withColumn(_BLOCK, block_of(F.col(slot), length))
+    if known is None:
+        known = df
+    known = known.withColumn(_BLOCK, block_of(F.col(slot), length))
+    if _BLOCK not in df.columns:
+        df = df.withColumn(_BLOCK, block_of(F.col(slot), length))
     ends = []
     for c in cols:
-        known = F.when(F.col(c).isNotNull(), F.col(slot))
+        here = F.when(F.col(c).isNotNull(), F.col(slot))
         # Plain columns, not a maximum of structs: those would need a sorted aggregation.
-        ends += [F.max(known).alias(f"_hs_{c}"), F.max_by(c, known).alias(f"_hv_{c}")]
-        ends += [F.min(known).alias(f"_ls_{c}"), F.min_by(c, known).alias(f"_lv_{c}")]
+        ends += [F.max(here).alias(f"_hs_{c}"), F.max_by(c, here).alias(f"_hv_{c}")]
+        ends += [F.min(here).alias(f"_ls_{c}"), F.min_by(c, here).alias(f"_lv_{c}")]
 
     def end(side: str, c: str) -> Column:
         s = F.col(f"_{side}s_{c}")
@@ -98,7 +142,7 @@ def with_neighbours(
     before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*keys).orderBy(F.desc(_BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        df.groupBy(*part)
+        known.groupBy(*part)
         .agg(*ends)
         .select(
             *part,

@@ -356,9 +356,14 @@ def gapfill_model(
     joined = et.select(*keys, date, col).join(drivers.select(*keys, date, *features), [*keys, date], "full")
     measured = joined.where(F.col(col).isNotNull())
     fits, grams = linear.fit_by_key(measured, features, col, keys, [model])
-    days = series.dense_daily(joined, keys, date).withColumn("_slot", day_slot(date))
-    filled = series.interpolate(days, keys, "_slot", features, limit)
-    ready = filled.select(*keys, date, col, *[F.col(f"{f}_int").alias(f) for f in features])
+    slotted = joined.withColumn("_slot", day_slot(date)).drop(date)
+    filled = series.fill_dense(slotted, keys, "_slot", features, limit)
+    ready = filled.select(
+        *keys,
+        F.date_from_unix_date(F.col("_slot").cast("int")).alias(date),
+        col,
+        *[F.col(f"{f}_int").alias(f) for f in features],
+    )
     return linear.apply_fits(ready, fits, grams, keys, "left").select(
         *keys,
         date,

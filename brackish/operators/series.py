@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,17 +48,16 @@ def daily_tide(df: DataFrame, site: str = "site", ts: str = "ts") -> DataFrame:
     return day.withColumn("WL_range_m", F.col("WL_max_m") - F.col("WL_min_m"))
 
 
+def _day_number(text: str | None) -> int | None:
+    return None if text is None else (datetime.date.fromisoformat(text) - datetime.date(1970, 1, 1)).days
+
+
 def dense_daily(
     df: DataFrame, keys: Sequence[str], date: str = "date", lo: str | None = None, hi: str | None = None
 ) -> DataFrame:
     """Every date between the first and the last of each key, or of a fixed period."""
-    import datetime
-
-    def number(text: str | None) -> int | None:
-        return None if text is None else (datetime.date.fromisoformat(text) - datetime.date(1970, 1, 1)).days
-
     slotted = df.withColumn("_slot", blocks.day_slot(date)).drop(date)
-    full = blocks.densify(slotted, keys, "_slot", number(lo), number(hi))
+    full = blocks.densify(slotted, keys, "_slot", _day_number(lo), _day_number(hi))
     return full.withColumn(date, F.date_from_unix_date(F.col("_slot").cast("int"))).drop("_slot").select(
         *df.columns
     )
@@ -78,26 +78,45 @@ def interpolate(
     gap completely or, when it is longer than `limit`, not at all. Adds
     `{c}_int` and, with `age`, `{c}_age`: slots since the last known value.
     """
+    near = blocks.with_neighbours(df, keys, slot, cols)
+    return near.select(*df.columns, *_lines(slot, cols, limit, mode, age))
+
+
+def fill_dense(
+    df: DataFrame,
+    keys: Sequence[str],
+    slot: str,
+    cols: Sequence[str],
+    limit: int,
+    mode: str = "prefix",
+    age: bool = False,
+    lo: int | None = None,
+    hi: int | None = None,
+) -> DataFrame:
+    """`interpolate` for rows not yet on a dense axis: lays them on it and fills in the same pass."""
+    near = blocks.dense_neighbours(df, keys, slot, cols, lo, hi)
+    return near.select(*df.columns, *_lines(slot, cols, limit, mode, age))
+
+
+def _lines(slot: str, cols: Sequence[str], limit: int, mode: str, age: bool) -> list[Column]:
     if mode not in ("prefix", "whole_gap"):
         raise ValueError(mode)
-    near = blocks.with_neighbours(df, keys, slot, cols)
-    here = F.col(slot)
     out = []
     for c in cols:
         prev, nxt = F.col(f"{c}__prev"), F.col(f"{c}__next")
-        since, gap = here - prev["s"], nxt["s"] - prev["s"]
+        since, gap = F.col(slot) - prev["s"], nxt["s"] - prev["s"]
         allowed = since <= limit if mode == "prefix" else gap - 1 <= limit
         line = prev["v"] + (nxt["v"] - prev["v"]) * since / gap
         out.append(F.when(F.col(c).isNotNull(), F.col(c)).when(allowed & (gap > 0), line).alias(f"{c}_int"))
         if age:
             out.append(since.alias(f"{c}_age"))
-    return near.select(*df.columns, *out)
+    return out
 
 
 def with_staleness(df: DataFrame, keys: Sequence[str], date: str, cols: Sequence[str], limit: int = 16) -> DataFrame:
     """Daily axis with `{c}_obs`, `{c}_int` and `{c}_age` for every variable, in one pass."""
     slotted = df.select(*keys, blocks.day_slot(date).alias("_slot"), *cols)
-    filled = interpolate(blocks.densify(slotted, keys, "_slot"), keys, "_slot", cols, limit, age=True)
+    filled = fill_dense(slotted, keys, "_slot", cols, limit, age=True)
     named = []
     for c in cols:
         named += [F.col(c).alias(f"{c}_obs"), F.col(f"{c}_int"), F.col(f"{c}_age")]
@@ -107,8 +126,7 @@ def with_staleness(df: DataFrame, keys: Sequence[str], date: str, cols: Sequence
 def upsample_hourly(df: DataFrame, keys: Sequence[str], ts: str, col: str, limit: int = 3) -> DataFrame:
     """Hourly readings onto the half-hour grid, bridging at most `limit` empty slots."""
     readings = df.groupBy(*keys, blocks.step_slot(ts, 1800).alias("_slot")).agg(F.avg(col).alias(col))
-    grid = blocks.densify(readings, keys, "_slot")
-    return interpolate(grid, keys, "_slot", [col], limit).select(
+    return fill_dense(readings, keys, "_slot", [col], limit).select(
         *keys, blocks.step_time(F.col("_slot"), 1800).alias(ts), F.col(f"{col}_int").alias(col)
     )
 
@@ -320,12 +338,17 @@ def gapfill_reference(
     The filled series is a column of its own with a flag beside it, so that
     it cannot be mistaken for a measurement.
     """
-    days = dense_daily(et.select(*keys, date, col), keys, date, lo, hi)
-    days = days.join(met.select(*keys, date, eto), [*keys, date], "left")
-    days = days.withColumn("_slot", blocks.day_slot(date)).withColumn(
-        "_ef", clip(reference_fraction(F.col(col), F.col(eto)), 0, 2.0)
+    # The fraction exists on measured days only, so it is formed before the axis is laid out.
+    measured = et.select(*keys, date, col).join(met.select(*keys, date, eto), [*keys, date], "left")
+    sparse = measured.select(
+        *keys,
+        blocks.day_slot(date).alias("_slot"),
+        col,
+        clip(reference_fraction(F.col(col), F.col(eto)), 0, 2.0).alias("_ef"),
     )
-    filled = interpolate(days, keys, "_slot", ["_ef"], limit)
+    filled = fill_dense(sparse, keys, "_slot", ["_ef"], limit, lo=_day_number(lo), hi=_day_number(hi))
+    filled = filled.withColumn(date, F.date_from_unix_date(F.col("_slot").cast("int"))).drop("_slot")
+    filled = filled.join(met.select(*keys, date, eto), [*keys, date], "left")
     estimate = F.col("_ef_int") * F.col(eto)
     flag = F.col(col).isNull() & estimate.isNotNull()
     return filled.select(

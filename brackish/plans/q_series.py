@@ -60,7 +60,9 @@ def _(v):
 
 @query("t5_interpolate_prefix", f"SELECT site, date, {rsql('filled', 'ET_int')} FROM {filled_sql('et_dense', 'ET', 16)}")
 def _(v):
-    return series.interpolate(dense_et(v), ["site"], "slot", ["ET"], 16).select("site", "date", r("ET_int"))
+    sparse = v.et_daily.select("site", blocks.day_slot("date").alias("slot"), "ET")
+    out = series.fill_dense(sparse, ["site"], "slot", ["ET"], 16)
+    return out.select("site", F.date_from_unix_date(F.col("slot").cast("int")).alias("date"), r("ET_int"))
 
 
 @query(

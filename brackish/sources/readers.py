@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brackish.functions import meteorology as met
 from brackish.functions.gates import known
-from brackish.functions.names import first_col, pick, variable
+from brackish.functions.names import first_col, pick
 
 BASE_VARIABLES = ("LE", "H", "NETRAD", "G", "TA", "USTAR", "WTD", "LE_SSITC_TEST", "WD", "WS", "PA")
 DAILY_COLUMNS = (
@@ -21,6 +21,11 @@ HALFHOUR_COLUMNS = (
     "LE_F_MDS", "H_F_MDS", "NETRAD", "G_F_MDS", "TA_F", "USTAR", "WD", "WS_F", "PA_F",
     "SW_IN_F", "SW_OUT", "LW_IN_F", "LW_OUT",
 )
+HOURLY_COLUMNS = (
+    "temperature_2m", "dewpoint_temperature_2m", "surface_solar_radiation_downwards_hourly",
+    "u_component_of_wind_10m", "v_component_of_wind_10m", "total_precipitation_hourly",
+    "skin_temperature", "volumetric_soil_water_layer_1", "potential_evaporation_hourly",
+)
 MET_NAMES = {
     "TA_C": "TA_ERA", "SRAD_Wm2": "SW_IN_ERA", "VPD_kPa": "VPD_ERA", "WS_ms": "WS_ERA", "P_mm": "P_ERA",
 }
@@ -33,11 +38,6 @@ SITE_SCHEMA = (
 _SITE_PART = r"([A-Z]{2}-[A-Za-z0-9]{3})"
 
 
-def site_of_path() -> Column:
-    """Site code from the file name."""
-    return F.regexp_extract(F.element_at(F.split(F.input_file_name(), "/"), -1), _SITE_PART, 1)
-
-
 def minute_stamp(text: Column) -> Column:
     return F.try_to_timestamp(text.cast("string"), F.lit("yyyyMMddHHmm"))
 
@@ -46,79 +46,73 @@ def day_stamp(text: Column) -> Column:
     return F.to_date(F.try_to_timestamp(text.cast("string"), F.lit("yyyyMMdd")))
 
 
-def _nulls(df: DataFrame, skip: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(c) if c in skip else known(F.col(c)).alias(c) for c in df.columns])
-
-
-def _header(spark: SparkSession, path: str, preamble: int) -> list[str]:
-    """Column names: the first line after the preamble. Reads only the head of one file."""
-    line = spark.read.text(path).limit(preamble + 1).collect()[preamble]["value"]
-    return [c.strip().strip('"') for c in line.split(",")]
-
-
-def read_flux_base(spark: SparkSession, paths: str | Sequence[str], preamble: int = 2) -> DataFrame:
-    """Raw half-hourly files: preamble, qualified names differing per file, -9999 for missing.
+def _by_header(
+    spark: SparkSession, paths: str | Sequence[str], key: str, chosen: Callable[[list[str]], dict[str, str | None]]
+) -> DataFrame:
+    """Delimited files that differ in their columns, in one scan.
 
-    Files are grouped by header, each group is one scan, and all are brought
-    to the variables of `BASE_VARIABLES`.
+    Spark's CSV reader takes the columns of one file for all. Here each
+    file's header line is the one naming the column `key`; `chosen` maps its
+    names to output columns; rows look their fields up by the positions of
+    their own file. Files without `key` yield nothing. Returns site, the key
+    as text, and doubles.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        groups.setdefault(tuple(_header(spark, path, preamble)), []).append(path)
-    out = None
-    for names, files in groups.items():
-        schema = ", ".join(f"`{n}` string" for n in names)
-        lines = spark.read.text(files).withColumn("_site", site_of_path())
-        rows = lines.where(F.col("value").rlike("^\\s*\"?[0-9]")).select(
-            "_site", F.from_csv("value", schema).alias("_r")
-        )
-        flat = rows.select(F.col("_site").alias("site"), "_r.*").where(
-            minute_stamp(F.col("TIMESTAMP_START")).isNotNull()
-        )
-        part = flat.select(
-            "site",
-            minute_stamp(F.col("TIMESTAMP_START")).alias("ts"),
-            *[
-                known(F.col(f"`{name}`").try_cast("double")).alias(v) if name else F.lit(None).cast("double").alias(v)
-                for v in BASE_VARIABLES
-                for name in [pick(list(names), v)]
-            ],
-        )
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("LE_SSITC_TEST", "QC")
-
-
-def _read_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    return spark.read.csv(
-        paths if isinstance(paths, str) else list(paths), header=True, nullValue="-9999", mode="PERMISSIVE"
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
+        F.col("_metadata.file_path").alias("_file"), "value"
     )
+    heads = lines.where(F.col("value").rlike(rf'(^|,)\s*"?{key}"?\s*(,|$)')).collect()  # one line per file
+    places = []
+    for head in heads:
+        names = [n.strip().strip('"') for n in head["value"].split(",")]
+        picked = chosen(names)
+        places.append((head["_file"], names.index(key), *[names.index(n) if n else None for n in picked.values()]))
+    out = list(chosen([]))
+    schema = "_file string, _key int" + "".join(f", `_at_{c}` int" for c in out)
+    table = spark.createDataFrame(places, schema)
+    fields = F.split("value", ",")
+    rows = lines.join(table, "_file").withColumn("_a", fields)
+
+    def text(place: str) -> Column:
+        return F.trim(F.get("_a", F.col(place)).cast("string"), F.lit('" \t\r'))
+
+    site = F.regexp_extract(F.element_at(F.split("_file", "/"), -1), _SITE_PART, 1)
+    return rows.select(
+        site.alias("site"),
+        text("_key").alias("_key"),
+        *[known(text(f"`_at_{c}`").try_cast("double")).alias(c) for c in out],
+    )
+
 
+def _exact(columns: Sequence[str]) -> Callable[[list[str]], dict[str, str | None]]:
+    return lambda names: {c: c if c in names else None for c in columns}
 
-def _product(df: DataFrame, stamp: Column, name: str, columns: Sequence[str]) -> DataFrame:
-    present = [known(F.col(c).try_cast("double")).alias(c) for c in columns if c in df.columns]
-    absent = [F.lit(None).cast("double").alias(c) for c in columns if c not in df.columns]
-    return df.select(site_of_path().alias("site"), stamp.alias(name), *present, *absent).select("site", name, *columns)
+
+def read_flux_base(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Raw half-hourly files: preamble, qualified names differing per file, -9999 for missing."""
+    rows = _by_header(spark, paths, "TIMESTAMP_START", lambda names: {v: pick(names, v) for v in BASE_VARIABLES})
+    rows = rows.withColumn("ts", minute_stamp(F.col("_key"))).where(F.col("ts").isNotNull())
+    return rows.select("site", "ts", *BASE_VARIABLES).withColumnRenamed("LE_SSITC_TEST", "QC")
 
 
 def read_flux_daily(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Daily product files; columns a site lacks are null."""
-    df = _read_csv(spark, paths)
-    return _product(df, day_stamp(F.col("TIMESTAMP")), "date", DAILY_COLUMNS)
+    rows = _by_header(spark, paths, "TIMESTAMP", _exact(DAILY_COLUMNS)).withColumn("date", day_stamp(F.col("_key")))
+    return rows.where(F.col("date").isNotNull()).select("site", "date", *DAILY_COLUMNS)
 
 
 def read_flux_hh(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Half-hourly product files."""
-    df = _read_csv(spark, paths)
-    return _product(df, minute_stamp(F.col("TIMESTAMP_START")), "ts", HALFHOUR_COLUMNS)
+    rows = _by_header(spark, paths, "TIMESTAMP_START", _exact(HALFHOUR_COLUMNS))
+    rows = rows.withColumn("ts", minute_stamp(F.col("_key"))).where(F.col("ts").isNotNull())
+    return rows.select("site", "ts", *HALFHOUR_COLUMNS)
 
 
 def read_met_daily(spark: SparkSession, reanalysis: str | None, gridded: str | None = None) -> DataFrame:
     """Daily reanalysis CSV, or the gridded product renamed to the same columns. Pressure deficit in hPa."""
     cols = ["TA_ERA", "SW_IN_ERA", "VPD_ERA", "WS_ERA", "P_ERA"]
     if reanalysis:
-        df = _read_csv(spark, reanalysis)
-        return _product(df, day_stamp(F.col("TIMESTAMP")), "date", cols)
+        rows = _by_header(spark, reanalysis, "TIMESTAMP", _exact(cols)).withColumn("date", day_stamp(F.col("_key")))
+        return rows.where(F.col("date").isNotNull()).select("site", "date", *cols)
     grid = spark.read.parquet(gridded).withColumnsRenamed(MET_NAMES)
     out = grid.select("site", "date", *[first_col(grid, c).alias(c) for c in cols])
     return out.withColumn("VPD_ERA", met.kpa_to_hpa(F.col("VPD_ERA")))
@@ -141,22 +135,15 @@ def gridded_met(raw: DataFrame) -> DataFrame:
 
 
 def read_met_hourly(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Hourly reanalysis CSVs: rows with a bad date are dropped, repeated hours kept once."""
-    df = _read_csv(spark, paths)
-    if "date" not in df.columns:
-        return spark.createDataFrame([], "site string, ts timestamp")
-    numbers = [known(F.col(c).try_cast("double")).alias(c) for c in df.columns if c != "date"]
-    rows = df.select(site_of_path().alias("site"), F.try_to_timestamp("date").alias("ts"), *numbers)
-    return rows.where(F.col("ts").isNotNull()).dropDuplicates(["site", "ts"])
+    """Hourly reanalysis CSVs: files without dates and rows with bad ones are dropped, repeated hours kept once."""
+    rows = _by_header(spark, paths, "date", _exact(HOURLY_COLUMNS))
+    rows = rows.withColumn("ts", F.try_to_timestamp("_key")).where(F.col("ts").isNotNull())
+    return rows.select("site", "ts", *HOURLY_COLUMNS).dropDuplicates(["site", "ts"])
 
 
 def hourly_to_daily_met(hourly: DataFrame) -> DataFrame:
     """Hourly reanalysis to daily drivers; a site without any temperature yields no rows."""
-    c = {n: variable(hourly, n) for n in hourly.columns if n not in ("site", "ts")}
-
-    def col(name: str) -> Column:
-        return c.get(name, F.lit(None).cast("double"))
-
+    col = F.col
     t, dew = met.kelvin_to_c(col("temperature_2m")), met.kelvin_to_c(col("dewpoint_temperature_2m"))
     day = hourly.groupBy("site", F.to_date("ts").alias("date")).agg(
         F.avg(t).alias("TA_ERA"),

@@ -164,3 +164,13 @@ def test_first_per_group_keeps_whole_row(spark):
     df = spark.createDataFrame([("a", 2, "y"), ("a", 1, None), ("b", 5, "z")], "k string, n int, v string")
     rows = blocks.first_per_group(df, ["k"], [F.col("n")]).orderBy("k").collect()
     assert [(r["n"], r["v"]) for r in rows] == [(1, None), (5, "z")]
+
+
+def test_dense_fill_equals_densify_then_interpolate(spark):
+    rng = random.Random(6)
+    rows = [(s, i, rng.random(), rng.random() if i % 3 else None) for s in "abc" for i in sorted(rng.sample(range(-40, 5000), 30))]
+    df = spark.createDataFrame(rows, "site string, slot long, x double, z double")
+    for lo, hi in ((None, None), (-2000, 3000)):
+        one = series.fill_dense(df, ["site"], "slot", ["x", "z"], 700, age=True, lo=lo, hi=hi)
+        two = series.interpolate(blocks.densify(df, ["site"], "slot", lo, hi), ["site"], "slot", ["x", "z"], 700, age=True)
+        assert one.count() == two.count() and one.exceptAll(two.select(one.columns)).count() == 0

@@ -28,6 +28,10 @@ def test_daily_and_halfhourly_products(spark, tmp_path):
     d.write_text("TIMESTAMP,LE_F_MDS,LE_CORR,TA_F,EXTRA\n20200101,50,-9999,20,x\n20200102,60,70,21,y\n")
     rows = readers.read_flux_daily(spark, str(d)).orderBy("date").collect()
     assert [(r["site"], r["date"], r["LE_CORR"], r["NETRAD"]) for r in rows] == [("US-Ccc", dt.date(2020, 1, 1), None, None), ("US-Ccc", dt.date(2020, 1, 2), 70.0, None)]
+    e = tmp_path / "AMF_US-Cdd_FLUXMET_DD.csv"
+    e.write_text('"TIMESTAMP","NETRAD","LE_F_MDS"\n20200101,100,5\n')
+    both = {r["site"]: r for r in readers.read_flux_daily(spark, [str(d), str(e)]).where("date = '2020-01-01'").collect()}
+    assert (both["US-Ccc"]["LE_F_MDS"], both["US-Cdd"]["LE_F_MDS"], both["US-Cdd"]["NETRAD"]) == (50.0, 5.0, 100.0)
     h = tmp_path / "AMF_US-Ccc_FLUXMET_HH.csv"
     h.write_text("TIMESTAMP_START,LE_F_MDS,H_F_MDS\n202001010030,1,2\n")
     assert readers.read_flux_hh(spark, str(h)).first()["ts"] == dt.datetime(2020, 1, 1, 0, 30)
