@@ -96,8 +96,8 @@ def line_of_fit(oof: DataFrame, by: Sequence[str] = (), y: str = "y", pred: str
 
 def train_mean(split: DataFrame, y: str) -> DataFrame:
     """Baseline: test rows predicted by the training mean."""
-    mean = split.where("is_train").agg(F.avg(y).alias("pred")).withColumn("is_train", F.lit(False))
-    return split.where(~F.col("is_train")).join(mean, "is_train")
+    mean = split.where("is_train").agg(F.avg(y)).first()[0]
+    return split.where(~F.col("is_train")).withColumn("pred", F.lit(mean).cast("double"))
 
 
 def direct(split: DataFrame, predictor: str) -> DataFrame:

@@ -18,9 +18,14 @@ KM_PER_DEGREE = 111.32
 
 
 def join_streams(base: DataFrame, keys: Sequence[str], *streams: DataFrame) -> DataFrame:
-    """Left-join daily streams onto the base rows."""
+    """Left-join daily streams onto the base rows.
+
+    All are of one grain and meet by sort-merge on the same keys, so the base
+    is shuffled once. The hint is there because a stream laid on a dense
+    calendar looks to the planner as small as the file behind it.
+    """
     for stream in streams:
-        base = base.join(stream, list(keys), "left")
+        base = base.join(stream.hint("merge"), list(keys), "left")
     return base
 
 
@@ -141,7 +146,8 @@ def _grid_candidates(
     level is found at which its neighbourhood holds a target at all; the
     nearest one then lies within the neighbourhood `up` levels above it.
     """
-    reach = targets.withColumn("_cell", F.explode(_around("_cell", dims)))
+    # Written once: it is read twice, and the planner must see its size after the explosion.
+    reach = settle(targets.withColumn("_cell", F.explode(_around("_cell", dims))))
     occupied = reach.select("_cell").distinct()
     top = len(sizes) - 1
     # The top level holds everything in one neighbourhood and needs no test.
@@ -324,7 +330,8 @@ def in_rings(
         F.floor(F.min(F.least("x1", "x2")) / wide).alias("_from"),
         F.floor(F.max(F.greatest("x1", "x2")) / wide).alias("_to"),
     )
-    cells = extent.withColumn("_col", F.explode(F.sequence("_from", "_to"))).drop("_from", "_to")
+    # Written, so that the planner sees the size of the cells and not that of the rings they come from.
+    cells = settle(extent.withColumn("_col", F.explode(F.sequence("_from", "_to"))).drop("_from", "_to"))
     here = pixels.withColumn("_row", F.floor(F.col(y) / row)).withColumn("_col", F.floor(F.col(x) / wide))
     px, py = F.col(x), F.col(y)
 
@@ -359,6 +366,7 @@ def bilinear(
         .groupBy(*keys, "_c._cx", "_c._cy")
         .agg(*[F.max(F.when(F.col("_c._k") == k, F.col("_w"))).alias(f"_w{k}") for k in range(4)])
     )
+    cells = settle(cells)
     here = pixels.withColumn("_cx", F.floor(F.col(x) / step)).withColumn("_cy", F.floor(F.col(y) / step))
     fx, fy = F.col(x) / step - F.col("_cx"), F.col(y) / step - F.col("_cy")
     shares = [(1 - fx) * (1 - fy), fx * (1 - fy), (1 - fx) * fy, fx * fy]

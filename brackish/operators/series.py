@@ -348,7 +348,8 @@ def gapfill_reference(
     )
     filled = fill_dense(sparse, keys, "_slot", ["_ef"], limit, lo=_day_number(lo), hi=_day_number(hi))
     filled = filled.withColumn(date, F.date_from_unix_date(F.col("_slot").cast("int"))).drop("_slot")
-    filled = filled.join(met.select(*keys, date, eto), [*keys, date], "left")
+    # Sort-merge by hint: dense rows look as small to the planner as the sparse file behind them.
+    filled = filled.join(met.select(*keys, date, eto).hint("merge"), [*keys, date], "left")
     estimate = F.col("_ef_int") * F.col(eto)
     flag = F.col(col).isNull() & estimate.isNotNull()
     return filled.select(
@@ -382,7 +383,7 @@ def overlap_counts(obs: DataFrame, filled: DataFrame, keys: Sequence[str], date:
     """Days on which an observation meets measured, and filled, ET."""
     days = obs.select(*keys, date).distinct()
     return (
-        days.join(filled, [*keys, date])
+        days.join(filled.hint("merge"), [*keys, date])
         .groupBy(*keys)
         .agg(F.count(col).alias("with_measured"), F.count_if(F.col("is_filled")).alias("with_filled"))
     )

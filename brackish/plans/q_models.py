@@ -10,7 +10,11 @@ from brackish.plans.registry import query, r, rsql
 X = ["x1", "x2", "x3", "x4"]
 LINE = LinearModel("line", ("x1",), "ols")
 METRICS = ["r2", "rmse", "mae", "bias"]
-IDS = [F.col("l_orderkey"), F.col("l_linenumber")]
+
+
+def row_ids():
+    return [F.col("l_orderkey"), F.col("l_linenumber")]
+
 
 
 def scored(oof, by, y="y"):
@@ -45,7 +49,7 @@ FOLDED = f"folded AS (SELECT *, {HASH10} AS fold FROM samples)"
 
 @query("v1_v7_kfold_ols", f"WITH {FOLDED}, {line_oof('fold', table='folded')} {score_sql('oof')}")
 def _(v):
-    df, scheme = evaluate.kfold(v.samples, IDS, 10)
+    df, scheme = evaluate.kfold(v.samples, row_ids(), 10)
     return scored(linear.cross_validate(df, X, "y", scheme, [LINE]), [])
 
 
@@ -262,7 +266,7 @@ def _(v):
 
 @query("f9_group_ablation")
 def _(v):
-    df, kfold = evaluate.kfold(v.samples, IDS, 10)
+    df, kfold = evaluate.kfold(v.samples, row_ids(), 10)
     sets = {"all": X, "no size": ["x3", "x4"], "no price": ["x1", "x3", "x4"], "size": ["x1"]}
     return features.compare_feature_sets(df, sets, "y", [kfold, evaluate.leave_year(), evaluate.leave_site()])
 
@@ -312,6 +316,31 @@ def _(v):
     return evaluate.metrics(linear.cross_validate(v.samples, X, "y", evaluate.leave_site(), zoo), ["model", "scheme"])
 
 
+TWO = """own AS (SELECT site, count(*) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(y) AS sy, sum(x1 * x1) AS s11, sum(x2 * x2) AS s22, sum(x1 * x2) AS s12, sum(x1 * y) AS s1y, sum(x2 * y) AS s2y FROM samples GROUP BY 1),
+    tr AS (SELECT o.site, t.n - o.n AS n, t.s1 - o.s1 AS s1, t.s2 - o.s2 AS s2, t.sy - o.sy AS sy, t.s11 - o.s11 AS s11, t.s22 - o.s22 AS s22, t.s12 - o.s12 AS s12, t.s1y - o.s1y AS s1y, t.s2y - o.s2y AS s2y
+    FROM own o CROSS JOIN (SELECT sum(n) AS n, sum(s1) AS s1, sum(s2) AS s2, sum(sy) AS sy, sum(s11) AS s11, sum(s22) AS s22, sum(s12) AS s12, sum(s1y) AS s1y, sum(s2y) AS s2y FROM own) t),
+    st AS (SELECT site, s1 / n AS m1, s2 / n AS m2, sy / n AS my, sqrt(s11 / n - s1 / n * s1 / n) AS d1, sqrt(s22 / n - s2 / n * s2 / n) AS d2, s12 / n - s1 / n * s2 / n AS v12, s1y / n - s1 / n * sy / n AS v1, s2y / n - s2 / n * sy / n AS v2 FROM tr),
+    co AS (SELECT *, v1 / d1 AS c1, v2 / d2 AS c2, v12 / (d1 * d2) AS rho FROM st)"""
+
+
+@query(
+    "l3_elastic_net_one_feature",
+    f"""WITH {TWO} {score_sql("(SELECT site, y, my + sign(c1) * greatest(abs(c1) - 0.05 * 0.3, 0) / (1 + 0.05 * 0.7) / d1 * (x1 - m1) AS pred FROM samples JOIN co USING (site))", "site")}""",
+)
+def _(v):
+    zoo = [LinearModel("elastic", ("x1",), "elastic", 0.05, 0.3)]
+    return scored(linear.cross_validate(v.samples, ["x1", "x2"], "y", evaluate.leave_site(), zoo), ["site"])
+
+
+@query(
+    "l5_pls_one_component",
+    f"""WITH {TWO} {score_sql("(SELECT site, y, my + (c1 * c1 + c2 * c2) / (c1 * c1 + c2 * c2 + 2 * rho * c1 * c2) * (c1 * (x1 - m1) / d1 + c2 * (x2 - m2) / d2) AS pred FROM samples JOIN co USING (site))", "site")}""",
+)
+def _(v):
+    zoo = [LinearModel("pls", ("x1", "x2"), "pls", components=1)]
+    return scored(linear.cross_validate(v.samples, ["x1", "x2"], "y", evaluate.leave_site(), zoo), ["site"])
+
+
 @query("l4_huber")
 def _(v):
     rows = split(v)
@@ -355,7 +384,7 @@ def physical(v):
 SVP = "(0.6108 * exp(17.27 * t / (t + 237.3)))"
 SL = f"(4098 * {SVP} / power(t + 237.3, 2))"
 PHYS = f"""ph AS (SELECT *, CASE WHEN ET / eq > 2 THEN 2 WHEN ET / eq < 0 THEN 0 ELSE ET / eq END AS alpha FROM (SELECT *, {SL} / ({SL} + 0.066) * rn * 86400 / 2.45e6 AS eq, rn * 86400 / 2.45e6 AS av FROM
-    (SELECT site, y AS ET, x2 * 100 + 60 AS rn, x1 / 2 + 5 AS t FROM samples)) WHERE av > 0.5 AND eq > 0.2)"""
+    (SELECT site, x1, y AS ET, x2 * 100 + 60 AS rn, x1 / 2 + 5 AS t FROM samples)) WHERE av > 0.5 AND eq > 0.2)"""
 
 
 @query("l10_priestley_taylor_fixed", f"WITH {PHYS} {score_sql('(SELECT site, ET AS y, 1.26 * eq AS pred FROM ph)', 'site')}")
@@ -372,12 +401,23 @@ def _(v):
     return scored(models.priestley_taylor(physical(v), evaluate.leave_site()), ["site"], "ET")
 
 
-@query("l11_ratio_targets")
+RATIO = "ra AS (SELECT site, x1, ET, eq, av, alpha, CASE WHEN ET / av > 1.2 THEN 1.2 WHEN ET / av < 0 THEN 0 ELSE ET / av END AS EF FROM ph)"
+
+
+def ratio_sql(ratio, energy, hi):
+    clipped = f"CASE WHEN pred > {hi} THEN {hi} WHEN pred < 0 THEN 0 ELSE pred END"
+    table = f"rt AS (SELECT site, x1, ET, {ratio} AS y, {energy} AS energy FROM ra)"
+    return f"WITH {PHYS}, {RATIO}, {table}, {line_oof('site', '', 'n_test >= 5', table='rt')} {score_sql(f'(SELECT site, ET AS y, {clipped} * energy AS pred FROM oof)', 'site')}"
+
+
+@query("l11_fraction_target", ratio_sql("EF", "av", 1.2))
+def _(v):
+    return scored(models.cross_validate_ratio(physical(v), X, "EF", "ET_avail", evaluate.leave_site(), [LINE], 1.2), ["site"], "ET")
+
+
+@query("l11_alpha_target", ratio_sql("alpha", "eq", 1.6))
 def _(v):
-    rows, zoo = physical(v), [LinearModel("ridge", tuple(X), "ridge", 10.0)]
-    a = models.cross_validate_ratio(rows, X, "EF", "ET_avail", evaluate.leave_site(), zoo, 1.2)
-    b = models.cross_validate_ratio(rows, X, "alpha", "ET_eq", evaluate.leave_site(), zoo, 1.6)
-    return evaluate.metrics(a, ["model"], "ET").withColumn("target", F.lit("EF")).unionByName(evaluate.metrics(b, ["model"], "ET").withColumn("target", F.lit("alpha")))
+    return scored(models.cross_validate_ratio(physical(v), X, "alpha", "ET_eq", evaluate.leave_site(), [LINE], 1.6), ["site"], "ET")
 
 
 @query(

@@ -24,7 +24,7 @@ def training_table(
     rows = (
         overpasses.select(*keys, *satellite)
         .join(et.where(F.col(target).isNotNull()).select(*keys, target), list(keys))
-        .join(met.select(*keys, *drivers), list(keys), "left")
+        .join(met.select(*keys, *drivers).hint("merge"), list(keys), "left")
     )
     season = {n: c for n, c in day_features(F.col("date")).items() if n != "DOY"}
     rows = rows.withColumns(season).withColumn("year", F.year("date"))

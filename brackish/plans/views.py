@@ -98,7 +98,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "pixels": (
         (),
-        "SELECT site, scene, date, pos, (pos % 8 - 3.5) * 30 AS px_x, (pos // 8 - 3.5) * 30 AS px_y, "
+        "SELECT site, scene, date, pos, (pos % 8 - 3.5e0) * 30 AS px_x, (pos // 8 - 3.5e0) * 30 AS px_y, "
         "0.05 + abs(e) AS red, 0.25 + e AS nir, 0.08 + abs(e) / 2 AS green, 0.15 - e / 4 AS swir, 290 + 20 * e AS LST, "
         "(scene * 7 + pos) % 64 AS qa, (scene + pos) % 12 AS scl, (pos % 5) / 10.0 AS w FROM ("
         "SELECT 'L' || CAST(label AS VARCHAR) AS site, vec_id AS scene, "
@@ -171,12 +171,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         "SELECT CAST(n_regionkey AS BIGINT) AS region, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, "
         "coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM ("
-        "SELECT n_regionkey, n_nationkey, n_nationkey * 37 % 240 - 120.0 AS x, n_nationkey * 53 % 240 - 120.0 AS y FROM nation) "
+        "SELECT n_regionkey, n_nationkey, n_nationkey * 37 % 240 - 120e0 AS x, n_nationkey * 53 % 240 - 120e0 AS y FROM nation) "
         "WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)",
     ),
     "inside": (
         ("edges",),
-        "SELECT region, pos FROM (SELECT (pos % 8 - 3.5) * 30 AS px_x, (pos // 8 - 3.5) * 30 AS px_y, pos "
+        "SELECT region, pos FROM (SELECT (pos % 8 - 3.5e0) * 30 AS px_x, (pos // 8 - 3.5e0) * 30 AS px_y, pos "
         "FROM range(64) t(pos)) p CROSS JOIN edges GROUP BY region, pos HAVING "
         "sum(CASE WHEN (y1 > px_y) <> (y2 > px_y) AND px_x < (x2 - x1) * (px_y - y1) / nullif(y2 - y1, 0) + x1 "
         "THEN 1 ELSE 0 END) % 2 = 1",
