@@ -95,8 +95,11 @@ def dense_neighbours(
     """`densify` and `with_neighbours` in one: dense rows are made, shuffled and sorted once.
 
     Block summaries come from the sparse rows and one empty row per block,
-    instead of from a second copy of the dense axis.
+    instead of from a second copy of the dense axis. The sparse rows serve
+    four branches of the plan and are settled, so that what produces them
+    runs once.
     """
+    df = settle(df)
     dense = densify(df, keys, slot, lo, hi, length, keep_block=True)
     empty = _calendar_blocks(df, keys, slot, lo, hi, length).select(*keys, (F.col(_BLOCK) * length).alias(slot))
     sparse = df.select(*keys, slot, *cols)

@@ -107,33 +107,30 @@ def local_km(lat: Column, lon: Column, lat2: Column, lon2: Column, scale: float
     return F.hypot((lat2 - lat) * scale, (lon2 - lon) * scale * F.cos(F.radians(lat)))
 
 
+# A cell is one 64-bit number: its level above three coordinates of 19 bits each.
+_SIDE = 1 << 19
+_LEVEL_SHIFT = 57
+
+
 def _cells(dims: Sequence[Column], sizes: Sequence[float]) -> Column:
-    """Array of (level, cell coordinates) for a position at every level of the ladder."""
-    return F.array(
-        *[
-            F.struct(F.lit(i).alias("level"), *[F.floor(d / s).alias(f"c{j}") for j, d in enumerate(dims)])
-            for i, s in enumerate(sizes)
-        ]
-    )
+    """Array with the cell of a position at every level of the ladder, finest first."""
 
+    def pack(level: int, size: float) -> Column:
+        out = F.lit(level).cast("long")
+        for d in [*dims, F.lit(0.0)][:3]:
+            out = out * _SIDE + F.floor(d / size) + _SIDE // 2
+        return out
 
-def _around(cell: str, dims: int) -> Column:
-    """The cell and its neighbours, the level kept."""
-    out = F.array(F.col(cell))
-    for j in range(dims):
-        others = [f"c{i}" for i in range(dims) if i != j]
+    return F.array(*[pack(i, s) for i, s in enumerate(sizes)])
 
-        def shifted(step: int, out=out, j=j, others=others):
-            return F.transform(
-                out,
-                lambda c: F.struct(
-                    c["level"].alias("level"),
-                    *[(c[f"c{i}"] + step if i == j else c[f"c{i}"]).alias(f"c{i}") for i in range(dims)],
-                ),
-            )
 
-        out = F.concat(out, shifted(-1), shifted(1))
-    return out
+def _with_neighbour_cells(df: DataFrame, dims: int) -> DataFrame:
+    """Every row once for its own cell and once for each cell around it, the level kept."""
+    for j in range(dims):
+        step = _SIDE ** (2 - j)
+        df = df.withColumn("_d", F.explode(F.array(F.lit(-step), F.lit(0), F.lit(step)).cast("array<bigint>")))
+        df = df.withColumn("_cell", F.col("_cell") + F.col("_d")).drop("_d")
+    return df
 
 
 def _grid_candidates(
@@ -147,12 +144,16 @@ def _grid_candidates(
     nearest one then lies within the neighbourhood `up` levels above it.
     """
     # Written once: it is read twice, and the planner must see its size after the explosion.
-    reach = settle(targets.withColumn("_cell", F.explode(_around("_cell", dims))))
+    reach = settle(_with_neighbour_cells(targets, dims))
     occupied = reach.select("_cell").distinct()
     top = len(sizes) - 1
     # The top level holds everything in one neighbourhood and needs no test.
     homes = points.select("_pid", F.explode(F.slice("_home", 1, top)).alias("_cell"))
-    finest = homes.join(occupied, "_cell", "left_semi").groupBy("_pid").agg(F.min("_cell.level").alias("_level"))
+    finest = (
+        homes.join(occupied, "_cell", "left_semi")
+        .groupBy("_pid")
+        .agg(F.shiftright(F.min("_cell"), _LEVEL_SHIFT).alias("_level"))
+    )
     level = F.coalesce(F.col("_level") + up, F.lit(top))
     search = points.join(finest, "_pid", "left").withColumn(
         "_cell", F.element_at("_home", (F.least(level, F.lit(top)) + 1).cast("int"))
@@ -179,6 +180,8 @@ def nearest_place(
     one level is at most 2*sqrt(3) cubes away, which the next level covers.
     Identical positions are searched once.
     """
+    if EARTH_KM / finest_km >= _SIDE // 2:
+        raise ValueError(f"finest_km must exceed {2 * EARTH_KM / _SIDE:.3f}")
     sizes = [finest_km * 4**i for i in range(16) if finest_km * 4 ** (i - 1) < 2 * EARTH_KM]
 
     def sphere(la: str, lo: str) -> list[Column]:

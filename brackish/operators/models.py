@@ -353,7 +353,7 @@ def gapfill_model(
     interpolated over short gaps for prediction, never for fitting.
     """
     model = model or linear.LinearModel("fill", tuple(features), "ridge", 1.0)
-    joined = et.select(*keys, date, col).join(drivers.select(*keys, date, *features), [*keys, date], "full")
+    joined = settle(et.select(*keys, date, col).join(drivers.select(*keys, date, *features), [*keys, date], "full"))
     measured = joined.where(F.col(col).isNotNull())
     fits, grams = linear.fit_by_key(measured, features, col, keys, [model])
     slotted = joined.withColumn("_slot", day_slot(date)).drop(date)
