@@ -6,7 +6,7 @@ nearest-neighbour searches join on grid cells, polygons on rows of cells.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,32 +133,45 @@ def _with_neighbour_cells(df: DataFrame, dims: int) -> DataFrame:
     return df
 
 
-def _grid_candidates(
-    points: DataFrame, targets: DataFrame, sizes: Sequence[float], up: Column, dims: int
+def _nearest_by_grid(
+    points: DataFrame,
+    targets: DataFrame,
+    sizes: Sequence[float],
+    dims: int,
+    answer: Column,
+    reach_of: Callable[[Column], Column],
+    up: Column,
 ) -> DataFrame:
-    """Pairs of each point with all targets that can be its nearest.
+    """`_pid` with the smallest `answer` (a struct led by the distance `km`) over all targets.
 
     `points` has `_pid` and `_home` (its cells at every level), `targets` has
-    `_cell` exploded over levels and a payload. For each point the finest
-    level is found at which its neighbourhood holds a target at all; the
-    nearest one then lies within the neighbourhood `up` levels above it.
+    its cells exploded in `_cell`, and a payload. A point first looks around
+    at the finest level whose neighbourhood holds a target at all. What it
+    finds is final when it lies within `reach_of` that cell size; otherwise
+    the neighbourhood `up` levels higher is sure to hold the nearest one.
     """
-    # Written once: it is read twice, and the planner must see its size after the explosion.
-    reach = settle(_with_neighbour_cells(targets, dims))
-    occupied = reach.select("_cell").distinct()
+    # Written once: it is read often, and the planner must see its size after the explosion.
+    around = settle(_with_neighbour_cells(targets, dims))
     top = len(sizes) - 1
     # The top level holds everything in one neighbourhood and needs no test.
     homes = points.select("_pid", F.explode(F.slice("_home", 1, top)).alias("_cell"))
     finest = (
-        homes.join(occupied, "_cell", "left_semi")
+        homes.join(around.select("_cell").distinct(), "_cell", "left_semi")
         .groupBy("_pid")
         .agg(F.shiftright(F.min("_cell"), _LEVEL_SHIFT).alias("_level"))
     )
-    level = F.coalesce(F.col("_level") + up, F.lit(top))
-    search = points.join(finest, "_pid", "left").withColumn(
-        "_cell", F.element_at("_home", (F.least(level, F.lit(top)) + 1).cast("int"))
-    )
-    return search.drop("_home").join(reach, "_cell")
+    placed = points.join(finest, "_pid", "left").withColumn("_level", F.coalesce("_level", F.lit(top)))
+
+    def look(at: DataFrame, level: Column) -> DataFrame:
+        cell = F.element_at("_home", (F.least(level, F.lit(top)) + 1).cast("int"))
+        pairs = at.withColumn("_cell", cell).join(around, "_cell")
+        return pairs.groupBy("_pid").agg(F.min(answer).alias("_best"), F.first("_level").alias("_level"))
+
+    size = F.element_at(F.array(*[F.lit(float(s)) for s in sizes]), (F.col("_level") + 1).cast("int"))
+    near = settle(look(placed, F.col("_level")))
+    final = (F.col("_best.km") <= reach_of(size)) | (F.col("_level") == top)
+    open_ = near.where(~final).select("_pid", "_level").join(points, "_pid")
+    return near.where(final).unionByName(look(open_, F.col("_level") + up)).drop("_level")
 
 
 def nearest_place(
@@ -196,10 +209,11 @@ def nearest_place(
         F.col(target_lon).alias("_tlo"),
         F.explode(_cells(sphere(target_lat, target_lon), sizes)).alias("_cell"),
     )
-    pairs = _grid_candidates(spots, places, sizes, F.lit(1), 3)
-    metric = haversine_km if distance == "haversine" else local_km
-    km = metric(F.col("_pid._la"), F.col("_pid._lo"), F.col("_tla"), F.col("_tlo"))
-    best = pairs.groupBy("_pid").agg(F.min(F.struct(km.alias("km"), F.col("_tid").alias("id"))).alias("_best"))
+    flat = distance != "haversine"
+    km = (local_km if flat else haversine_km)(F.col("_pid._la"), F.col("_pid._lo"), F.col("_tla"), F.col("_tlo"))
+    answer = F.struct(km.alias("km"), F.col("_tid").alias("id"))
+    # The flat distance only approximates the one the cubes measure, hence its margin.
+    best = _nearest_by_grid(spots, places, sizes, 3, answer, lambda size: size * (0.85 if flat else 1.0), F.lit(1))
     best = best.select(
         F.col("_pid._la").alias(lat),
         F.col("_pid._lo").alias(lon),
@@ -298,7 +312,6 @@ def distance_to_lines_km(
     # half a stretch to spare for its middle.
     shrink = F.greatest(F.cos(F.radians(F.col("_pid._la"))), F.lit(0.01))
     up = F.ceil(F.log2(F.lit(2 * 2**0.5 + 0.5) / shrink) / 2).cast("int")
-    pairs = _grid_candidates(spots, cut, sizes, up, 2)
     rad = 3.141592653589793 / 180.0 * EARTH_KM
     cos = F.cos(F.radians(F.col("_pid._la")))
     ax, ay = (F.col("_x1") - F.col("_pid._lo")) * cos * rad, (F.col("_y1") - F.col("_pid._la")) * rad
@@ -307,9 +320,11 @@ def distance_to_lines_km(
     size = dx * dx + dy * dy
     share = -(ax * dx + ay * dy) / F.when(size == 0, F.lit(1e-12)).otherwise(size)
     share = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
-    km = F.hypot(ax + share * dx, ay + share * dy)
-    best = pairs.groupBy("_pid").agg(F.min(km).alias("dist_km"))
-    best = best.select(F.col("_pid._la").alias(lat), F.col("_pid._lo").alias(lon), "dist_km")
+    answer = F.struct(F.hypot(ax + share * dx, ay + share * dy).alias("km"))
+    best = _nearest_by_grid(
+        spots, cut, sizes, 2, answer, lambda size: (size - finest_deg / 2) * F.greatest(cos, F.lit(0.0)) * rad, up
+    )
+    best = best.select(F.col("_pid._la").alias(lat), F.col("_pid._lo").alias(lon), F.col("_best.km").alias("dist_km"))
     return points.join(best, [lat, lon], "left")
 
 
