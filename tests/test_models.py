@@ -155,16 +155,12 @@ def test_permutation_importance_finds_the_drivers(df):
     fits, grams = linear.fit_by_key(df, X, "y", [], [LinearModel("o", ("a", "b"), "ols")])
 
     def predict(rows):
-        return linear.apply_fits(rows, _with_features(fits, grams), grams, []).drop("model")
+        return linear.apply_fits(rows, fits, grams, []).drop("model")
 
     got = {r["feature"]: r["importance"] for r in features.permutation_importance(df, ["id"], X, "y", predict, repeats=3).collect()}
     assert got["a"] > 0.1 and got["b"] > 0.1 and got["c"] == pytest.approx(0, abs=1e-9)
 
 
-def _with_features(fits, grams):
-    return fits
-
-
 def test_month_blocks_keep_months_whole(spark):
     import datetime as dt
 
