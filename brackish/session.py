@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -31,9 +32,12 @@ def durable_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _private_folder()
+
+
+@functools.cache
+def _private_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def settle(df: DataFrame) -> DataFrame:
