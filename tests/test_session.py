@@ -31,5 +31,5 @@ def test_cluster_without_a_folder_is_refused():
 
 def test_settled_table_is_read_from_files(spark):
     df = settle(spark.range(10).selectExpr("id", "id % 3 AS k"))
-    assert df.schema == spark.range(1).selectExpr("id", "id % 3 AS k").schema or df.columns == ["id", "k"]
+    assert df.dtypes == [("id", "bigint"), ("k", "bigint")]
     assert df.count() == 10 and len(df.inputFiles()) > 0
