@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackish.llm import bpe_table, language_id, packing
-from brackish.llm.tables import table
+from brackish.llm import bpe_table, language_id, packing, pii, quality_rules, secrets, toxicity
+from brackish.llm.tables import settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,40 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     prototypes = language_id.learn(docs.where(~out))
     found = language_id.identify(docs.select("doc_id", "text"), prototypes)
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op1_quality_rules", quality_rules.SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    measured = settle(quality_rules.measure(table(spark, folder, "documents")))
+    cutoffs = quality_rules.certify(measured, table(spark, folder, "labels"))
+    return quality_rules.judge(measured, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = toxicity.held_out(F.col("doc_id"))
+    scorer = toxicity.learn(docs, table(spark, folder, "labels").where(~out))
+    return toxicity.score(docs, scorer).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _count(spans: str, kind: str):
+    return F.size(F.filter(spans, lambda x: x["plain"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+
+def _spans(spans: str):
+    written = pii.written(F.col(spans), only_plain=True)
+    return F.sha2(written.cast("binary"), 256).alias("base_sha256"), pii.written(F.col(spans)).alias("spans")
+
+
+@query("op5_pii")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    return found.select("doc_id", *[_count("pii", k) for k in pii.KINDS], *_spans("pii"))
+
+
+@query("op7_secrets")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secrets.find(docs, secrets.thresholds(docs)).select("doc_id", "secrets")
+    return found.select("doc_id", *[_count("secrets", k) for k in secrets.KINDS[:3]], *_spans("secrets"))
