@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_CHARS = 1 << 20
-KEPT_WORDS = 250_000
+from brackish.llm.tables import small
+
+SLICE_CHARS = 1 << 18
+KEPT_WORDS = 100_000
 #: White space at which a text is not split.
 RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -86,7 +88,7 @@ def _with(docs: DataFrame, name: str, kind: T.DataType, source: str, make: Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(apply(batch.column(at).to_pylist()), arrow)], names=schema.names)
 
     return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brackish.llm.tables import small
+
 DIMENSIONS = 2048
 MAX_LANGUAGES = 2000
 SLICE = 1 << 19
@@ -91,7 +93,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", dimension
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, total = _Letters(dimensions), {}
-        for batch in batches:
+        for batch in small(batches):
             names = np.array(batch.column(1).to_pylist(), object)
             for first, n, grams, rows in _slices(batch.column(0).to_pylist()):
                 here = names[first : first + n]
@@ -124,7 +126,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, known = _Letters(dimensions), {}
-        for batch in batches:
+        for batch in small(batches):
             best, cosine = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             for first, n, grams, rows in _slices(batch.column(at).to_pylist()) if names else ():
                 keys, back = np.unique(grams, return_inverse=True)

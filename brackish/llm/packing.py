@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brackish.llm.bpe_table import WordTable
-from brackish.llm.tables import settle
+from brackish.llm.tables import settle, small
 
 GROUP_ROWS = 40_000
 _UNIT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
@@ -40,7 +40,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(path, _UNIT.findall)
-        for batch in batches:
+        for batch in small(batches):
             rows = [[], [], [], [], []]
             held = 0
             for name, ids in zip(batch.column(0), table.encode(batch.column(1).to_pylist())):

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brackish.llm.tables import small
+
 KINDS = ("email", "ip", "card", "phone")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -158,7 +160,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     at = [f.name for f in kept].index(text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = [[{"kind": KINDS[k], "start": s, "end": e, "plain": p} for s, k, e, p in spans(t.as_py())] for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _ARROW)], names=schema.names)
 

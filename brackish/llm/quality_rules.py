@@ -161,8 +161,8 @@ WITH t AS (
   SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents
 ), w AS (
   SELECT row_id, doc_id, text,
-         list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM t
 ), windows AS (
   SELECT row_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS win
@@ -202,7 +202,7 @@ WITH t AS (
   SELECT stratum, rule, max((caught - {PRICE} * k) * 1000 + step) AS best
   FROM tried
   WHERE caught - {PRICE} * k > 0 AND k < n * {ALPHA / len(RULES)}
-    AND list_sum(list_transform(range(0, k::BIGINT + 1), j -> exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+    AND list_sum(list_transform(range(0, k::BIGINT + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
         + j * ln({ALPHA / len(RULES)}) + (n - j) * ln(1 - {ALPHA / len(RULES)})))) <= {DELTA / (BANDS * len(RULES))}
   GROUP BY stratum, rule
 ), broken AS (

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brackish.llm.tables import small
+
 KINDS = ("assign", "access", "hex", "random")
 LEAST, SHARE, BINS = 16, 0.01, 48
 BANDS = np.array([16, 20, 28, 40, 64])
@@ -140,7 +142,7 @@ def thresholds(docs: DataFrame, text: str = "text", share: float = SHARE) -> dic
         def add(which: int, strings: list[str]) -> None:
             np.add.at(total[which], (_band(strings), _bin(battery(strings, np.full(len(strings), which == 1)))), 1)
 
-        for batch in batches:
+        for batch in small(batches):
             held: tuple[list[str], list[str]] = ([], [])
             for t in batch.column(0):
                 found, words = _look(t.as_py() or "")
@@ -184,7 +186,7 @@ def find(docs: DataFrame, least_bins: dict[int, int], text: str = "text") -> Dat
     least = np.array([least_bins.get(b, BINS) for b in range(len(BANDS))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for t in batch.column(at):
                 text_ = t.as_py() or ""

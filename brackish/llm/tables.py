@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `limit` bytes, so that a task's memory does not follow Spark's batch size."""
+    for batch in batches:
+        step = max(1, batch.num_rows * limit // max(batch.nbytes, 1))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
+
+
 @contextmanager
 def _shuffles_end_with_the_query(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(CLEANUP, None)

@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brackish.llm.tables import small
+
 LABELLED, LEXICON, STRENGTH = 10_000, 50_000, 40.0
 _KEPT_WORDS = 200_000
 
@@ -52,7 +54,7 @@ def letter_pairs(docs: DataFrame, text: str = "text") -> np.ndarray:
         for i in range(26):
             fold[65 + i] = fold[97 + i] = i + 1
         total = np.zeros(27 * 27, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             for t in batch.column(0):
                 codes = fold[np.frombuffer(f" {t.as_py() or ''} ".encode("utf-8", "replace"), np.uint8)]
                 total += np.bincount(codes[:-1] * 27 + codes[1:], minlength=27 * 27)
@@ -147,7 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
         held = (Counter(), Counter())
-        for batch in batches:
+        for batch in small(batches):
             for t, label in zip(batch.column(0), batch.column(1).to_pylist()):
                 held[label].update({x for w in words_of(t.as_py(), model, known) for x in traits(w)})
                 held[label][""] += 1
@@ -199,7 +201,7 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
         weights: dict[str, float] = {}
-        for batch in batches:
+        for batch in small(batches):
             best = []
             for t in batch.column(at):
                 top = 0.0
