@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackish.llm import bpe_table, language_id, packing, pii, quality_rules, secrets, toxicity
+from brackish.llm import bpe_table, language_id, packing, pii, quality_rules, secrets, substring_dedup, toxicity
 from brackish.llm.tables import settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = secrets.find(docs, secrets.thresholds(docs)).select("doc_id", "secrets")
     return found.select("doc_id", *[_count("secrets", k) for k in secrets.KINDS[:3]], *_spans("secrets"))
+
+
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.remove(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
