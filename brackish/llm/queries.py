@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackish.llm import bpe_table, language_id, packing, pii, quality_rules, secrets, substring_dedup, toxicity
+from brackish.llm import bpe_table, language_id, ngram_join, packing, pii, quality_rules, secrets, substring_dedup, toxicity
 from brackish.llm.tables import settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.remove(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op6_ngram_join")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.link(table(spark, folder, "documents").select("doc_id", "text"))
