@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackish.llm import bpe_table, language_id, ngram_join, packing, pii, quality_rules, secrets, substring_dedup, toxicity
+from brackish.llm import bpe_table, embedding_dedup, language_id, ngram_join, packing, pii, quality_rules, secrets, substring_dedup, toxicity
 from brackish.llm.tables import settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_ngram_join")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.link(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op4_embedding_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.link(table(spark, folder, "embeddings"))
