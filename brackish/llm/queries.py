@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None):
 @query("op8_packing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    pieces = packing.token_pieces(docs, _vocabulary("byte_bpe_50k.json"))
+    pieces = packing.token_pieces(docs, _vocabulary("byte_bpe_50k.json"), _vocabulary("byte_bpe_50k.tiktoken"))
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 

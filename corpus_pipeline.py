@@ -75,7 +75,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents and their places in sequences of at most 1,024 tokens."""
-    pieces = packing.token_pieces(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.token_pieces(docs.select("doc_id", "text"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")))
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
