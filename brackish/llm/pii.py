@@ -4,8 +4,8 @@ Plain identifiers (email, ip, card, phone) are found in the text itself. A secon
 normalised text: transducers turn look-alike letters into Latin ones and other scripts' digits
 into 0-9, drop invisible characters, write spelled digits as digits, and undo `[at]`, `(dot)` and
 their kin. Every step records where its output came from, so what is found there maps back to
-code points of the source. Such a find is added if a transducer touched it and it overlaps no
-plain find of its kind.
+code points of the source. Such a find is added if a transducer touched it and no plain find of
+its kind holds it.
 
 Defined results: null and empty texts have no spans. Places are code points, the end exclusive.
 Texts are scanned whole, in time linear in their length. Repeated rows each get their spans;
@@ -144,7 +144,7 @@ def spans(text: str | None) -> list[tuple[int, int, int, bool]]:
         seen = Normalised(text)
         for start, kind, end in plain(seen.text):
             first, last, touched = seen.back(start, end)
-            if touched and not any(k == kind and s < last and first < e for s, k, e in found):
+            if touched and not any(k == kind and s <= first and last <= e for s, k, e in found):
                 out.append((first, kind, last, False))
     return sorted(out)
 

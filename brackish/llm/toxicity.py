@@ -177,9 +177,12 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         + part(good_rows - F.col("n"), (all_rows - with_it) * good_rows / all_rows)
     )
     chance = share * F.col("t") / bad_rows / (share * F.col("t") / bad_rows + (1 - share) * (F.col("n") + 0.5) / good_rows)
-    lexicon = counted.where("trait <> ''").select("trait", chance.alias("p"), strength.alias("g")).where((F.col("g") >= STRENGTH) & (F.col("p") > share))
+    lexicon = counted.where("trait <> ''").select("trait", "t", chance.alias("p"), strength.alias("g")).where((F.col("g") >= STRENGTH) & (F.col("p") > share))
     found = lexicon.orderBy(F.desc("g"), "trait").limit(LEXICON).collect()
-    scorer = Scorer(model, {r["trait"]: r["p"] for r in found}, share)
+    seen = {r["trait"]: r["t"] for r in found}
+    # a beginning that owes nearly all its toxic rows to one word says no more than the word
+    idle = {x for w, t in seen.items() if not w.endswith("*") for x in traits(w)[1:] if t >= 0.8 * seen.get(x, t + t)}
+    scorer = Scorer(model, {r["trait"]: r["p"] for r in found if r["trait"] not in idle}, share)
     rest = score(rows, scorer, text="_text").where("not evident").groupBy("_toxic").count().collect()
     left = {r[0]: r[1] for r in rest}
     odds = share * left.get(1, 0) / bad_rows, (1 - share) * left.get(0, 0) / good_rows
