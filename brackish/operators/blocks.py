@@ -231,79 +231,45 @@ def lagged(col: str) -> tuple[int, Callable[[object], Column]]:
 
 
 def group_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    col: str,
-    probs: dict[str, float],
-    bins: int = 2048,
-    direct: int = 1_000_000,
+    df: DataFrame, keys: Sequence[str], col: str, probs: dict[str, float], parts: int = 256
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per key, without gathering a key.
 
-    Every wanted rank starts with the value range of its key. While a range
-    holds more than `direct` rows it is cut into `bins` equal parts, counted
-    with map-side combining, and narrowed to the part that holds the rank;
-    what is left is counted by distinct value and ranked. Only narrow scans
-    and small shuffles, whereas `percentile` holds every distinct value of a
-    key in one task. Ranges tighten to values that occur, so equal values end
-    the search at once.
+    A mergeable sketch proposes cut points for each key; equal values are counted before the
+    shuffle, the counts of the stretches between cut points tell which stretches hold the wanted ranks,
+    and only the values in those are ranked. The cut points only balance the work: ranks are
+    exact wherever they lie, also for one repeated value or an infinite one. NaN counts as missing.
+    Nothing runs while the plan is built.
     """
     if not keys:
         whole = df.withColumn("_whole", F.lit(1))
-        return group_quantiles(whole, ["_whole"], col, probs, bins, direct).drop("_whole")
+        return group_quantiles(whole, ["_whole"], col, probs, parts).drop("_whole")
     keys = list(keys)
-    rows = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
-    span = settle(
-        rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_n"))
-    )
+    rows = df.select(*keys, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    steps = [i / parts for i in range(1, parts)]
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", steps, 4 * parts).alias("_cuts"), F.count("_v").alias("_n"))
 
     def at(p: float) -> Column:
         return F.lit(p) * (F.col("_n") - 1)
 
-    ranks = F.array_distinct(F.array(*[end(at(p)) for p in probs.values() for end in (F.floor, F.ceil)]))
-    state = span.select(
-        *keys, "_lo", "_hi", "_n", F.lit(0).cast("long").alias("_before"), F.col("_n").alias("_m"), F.explode(ranks).alias("_rank")
-    )
-    part = [*keys, "_lo", "_hi", "_before"]
-    wide = (F.col("_m") > direct) & (F.col("_lo") < F.col("_hi"))
-    while not state.where(wide).isEmpty():
-        share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-        counted = (
-            rows.join(state.where(wide).select(*part).distinct(), keys)
-            .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-            .groupBy(*part, F.least(F.floor(share * bins), F.lit(bins - 1)).alias("_bin"))
-            .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
-        )
-        below = Window.partitionBy(*part).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-        placed = counted.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(below), F.lit(0)))
-        hit = (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_c"))
-        narrowed = (
-            state.where(wide)
-            .join(placed, part)
-            .where(hit)
-            .select(
-                *keys,
-                F.col("_a").alias("_lo"),
-                F.col("_b").alias("_hi"),
-                "_n",
-                F.col("_start").alias("_before"),
-                F.col("_c").alias("_m"),
-                "_rank",
-            )
-        )
-        state = settle(state.where(~wide).unionByName(narrowed))
-    unsolved = F.col("_lo") < F.col("_hi")
-    counted = (
-        rows.join(state.where(unsolved).select(*part).distinct(), keys)
-        .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .groupBy(*part, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+    cuts = cuts.withColumns(
+        {
+            "_cuts": F.array_distinct("_cuts"),
+            "_ranks": F.array_distinct(F.array(*[end(at(p)) for p in probs.values() for end in (F.floor, F.ceil)])),
+        }
     )
-    upto = Window.partitionBy(*part).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
-    hit = (F.col("_rank") >= F.col("_end") - F.col("_c")) & (F.col("_rank") < F.col("_end"))
-    ranked = state.where(unsolved).join(placed, part).where(hit).select(*keys, "_n", "_rank", "_v")
-    ranked = ranked.unionByName(state.where(~unsolved).select(*keys, "_n", "_rank", F.col("_lo").alias("_v")))
+    counted = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    stretch = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    placed = counted.join(cuts, keys).select(*keys, "_v", "_c", "_n", "_ranks", stretch.alias("_part"))
+    sums = placed.groupBy(*keys, "_part").agg(F.sum("_c").alias("_m"), F.first("_ranks").alias("_wanted"))
+    below = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_m").over(below), F.lit(0)))
+    holds = F.exists("_wanted", lambda x: (x >= F.col("_before")) & (x < F.col("_before") + F.col("_m")))
+    near = placed.join(sums.where(holds).select(*keys, "_part", "_before"), [*keys, "_part"])
+    upto = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
+    mine = F.filter("_ranks", lambda x: (x >= F.col("_end") - F.col("_c")) & (x < F.col("_end")))
+    ranked = near.select(*keys, "_n", F.explode(mine).alias("_rank"), "_v")
     ends = []
     for name, p in probs.items():
         ends += [
@@ -316,7 +282,12 @@ def group_quantiles(
         .agg(*ends)
         .select(
             *keys,
-            *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in probs],
+            *[
+                F.when(F.col(f"_lo_{n}") == F.col(f"_hi_{n}"), F.col(f"_lo_{n}"))
+                .otherwise(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}"))
+                .alias(n)
+                for n in probs
+            ],
         )
     )
 

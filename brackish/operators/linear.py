@@ -1,17 +1,17 @@
 """Linear models on sufficient statistics.
 
-One aggregation gives, for every fold, the counts, sums and cross products of
+One aggregation gives, for every fold, the counts, means and co-moments of
 all features. Everything else - ordinary, ridge, elastic-net and partial
 least squares fits of any feature subset with any fold left out, information
 criteria, variance inflation - follows from these small tables: the training
-set of a fold is the total less the fold's own sums. Only predictions and
+set of a fold is the total less the fold's own moments. Only predictions and
 their scores read the rows again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -37,84 +37,100 @@ class LinearModel:
 
 @dataclass
 class Grams:
-    """Sums per fold, taken around fixed centres so that large offsets do not eat digits."""
+    """Per key combination: count, means, and co-moments around those means (`sxx`, `sxy`, `syy`)."""
 
     table: DataFrame
     features: list[str]
     target: str
     keys: list[str]
-    centre: dict[str, float] = field(default_factory=dict)
 
 
-def _sums(values: dict[str, Column], features: Sequence[str], target: str) -> list[Column]:
-    xs, y = [values[f] for f in features], values[target]
-    return [
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.sum(x) for x in xs]).alias("sx"),
-        F.array(*[F.sum(xs[i] * xs[j]) for i in range(len(xs)) for j in range(i + 1)]).alias("sxx"),
-        F.array(*[F.sum(x * y) for x in xs]).alias("sxy"),
-        F.sum(y).alias("sy"),
-        F.sum(y * y).alias("syy"),
-    ]
+def _pairs(p: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(p) for j in range(i + 1)]
 
 
 def fold_grams(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = ()) -> Grams:
-    """One row of sums per key combination, from complete rows."""
+    """One row of moments per key combination, from complete rows.
+
+    Means and covariances are Spark's own aggregates, which merge partial results around their means:
+    neither the order of rows nor a large offset in one key touches the digits of another.
+    """
     cols = [*features, target]
     rows = df.dropna(subset=cols).select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
-    # Any typical value serves as the centre: it shifts the sums to keep their digits and cancels out later.
-    means = rows.limit(1000).agg(*[F.avg(c).alias(c) for c in cols]).first()
-    centre = {c: float(means[c] or 0.0) for c in cols}
-    shifted = {c: F.col(c) - F.lit(centre[c]) for c in cols}
-    table = rows.groupBy(*keys).agg(*_sums(shifted, features, target))
-    return Grams(settle(table), list(features), target, list(keys), centre)
-
-
-def _add(arrays: str, size: int) -> Column:
-    return F.array(*[F.sum(F.col(arrays)[i]) for i in range(size)])
+    n = F.count(F.lit(1))
+    table = rows.groupBy(*keys).agg(
+        n.alias("n"),
+        F.array(*[F.avg(f) for f in features]).alias("mx"),
+        F.avg(target).alias("my"),
+        F.array(*[n * F.covar_pop(features[i], features[j]) for i, j in _pairs(len(features))]).alias("sxx"),
+        F.array(*[n * F.covar_pop(f, target) for f in features]).alias("sxy"),
+        (n * F.covar_pop(target, target)).alias("syy"),
+    )
+    return Grams(settle(table), list(features), target, list(keys))
 
 
-def _less(whole: str, part: str, size: int) -> Column:
-    return F.array(*[F.col(whole)[i] - F.col(part)[i] for i in range(size)])
+def _merged(parts: DataFrame, by: Sequence[str], p: int) -> DataFrame:
+    """Moments of the parts of each group together: their own co-moments and those of their means."""
+    by = list(by)
+    n, whole = F.col("n"), F.sum("n")
+    centre = parts.groupBy(*by).agg(
+        F.array(*[F.sum(n * F.col("mx")[i]) / whole for i in range(p)]).alias("_cx"), (F.sum(n * F.col("my")) / whole).alias("_cy")
+    )
+    dx = [F.col("mx")[i] - F.col("_cx")[i] for i in range(p)]
+    dy = F.col("my") - F.col("_cy")
+
+    def together(own: Column, a: Column, b: Column) -> Column:
+        return F.sum(own) + F.sum(n * a * b) - F.sum(n * a) * F.sum(n * b) / whole
+
+    return (
+        parts.join(centre, by)
+        .groupBy(*by)
+        .agg(
+            whole.alias("n"),
+            F.array(*[F.first(F.col("_cx")[i]) + F.sum(n * dx[i]) / whole for i in range(p)]).alias("mx"),
+            (F.first("_cy") + F.sum(n * dy) / whole).alias("my"),
+            F.array(*[together(F.col("sxx")[k], dx[i], dx[j]) for k, (i, j) in enumerate(_pairs(p))]).alias("sxx"),
+            F.array(*[together(F.col("sxy")[i], dx[i], dy) for i in range(p)]).alias("sxy"),
+            together(F.col("syy"), dy, dy).alias("syy"),
+        )
+    )
 
 
 def training_sums(grams: Grams, scheme: Scheme) -> DataFrame:
-    """For every fold kept by the scheme, the sums over its training rows."""
+    """For every fold kept by the scheme, the moments over its training rows: the total less the fold."""
     p = len(grams.features)
-    sizes = {"sx": p, "sxx": p * (p + 1) // 2, "sxy": p}
-    own = grams.table.groupBy(*scheme.fold).agg(
-        F.sum("n").alias("n"),
-        *[_add(c, k).alias(c) for c, k in sizes.items()],
-        F.sum("sy").alias("sy"),
-        F.sum("syy").alias("syy"),
-    ).withColumn("_all", F.lit(1))
+    own = grams.table
+    if set(scheme.fold) != set(grams.keys):
+        own = _merged(own.withColumn("_all", F.lit(1)), ["_all", *scheme.fold], p).drop("_all")
+    own = own.withColumn("_all", F.lit(1))
     scope = ["_all", *scheme.scope]
-    total = own.groupBy(*scope).agg(
-        F.sum("n").alias("_n"),
-        *[_add(c, k).alias(f"_{c}") for c, k in sizes.items()],
-        F.sum("sy").alias("_sy"),
-        F.sum("syy").alias("_syy"),
-    )
+    names = ("n", "mx", "my", "sxx", "sxy", "syy")
+    total = _merged(own, scope, p).select(*scope, *[F.col(c).alias(f"_{c}") for c in names])
     both = own.join(total, scope).withColumn("n_test", F.col("n")).withColumn("n_train", F.col("_n") - F.col("n"))
     kept = both.where((F.col("n_test") >= scheme.min_test) & (F.col("n_train") >= max(scheme.min_train, 1)))
+    ex = [F.col("mx")[i] - F.col("_mx")[i] for i in range(p)]
+    ey = F.col("my") - F.col("_my")
+    apart = F.col("n") * F.col("_n") / F.col("n_train")
+    less = F.col("n") / F.col("n_train")
     return kept.select(
         *scheme.fold,
         "n_test",
         F.col("n_train").alias("n"),
-        *[_less(f"_{c}", c, k).alias(c) for c, k in sizes.items()],
-        (F.col("_sy") - F.col("sy")).alias("sy"),
-        (F.col("_syy") - F.col("syy")).alias("syy"),
+        F.array(*[F.col("_mx")[i] - ex[i] * less for i in range(p)]).alias("mx"),
+        (F.col("_my") - ey * less).alias("my"),
+        F.array(*[F.col("_sxx")[k] - F.col("sxx")[k] - apart * ex[i] * ex[j] for k, (i, j) in enumerate(_pairs(p))]).alias("sxx"),
+        F.array(*[F.col("_sxy")[i] - F.col("sxy")[i] - apart * ex[i] * ey for i in range(p)]).alias("sxy"),
+        (F.col("_syy") - F.col("syy") - apart * ey * ey).alias("syy"),
     )
 
 
-def unpack(n: float, sx, sxx, sxy, sy: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def unpack(n: float, mx, sxx, sxy, my: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Means, covariance (population), covariance with the target and mean of the target."""
-    sx, p = np.asarray(sx, float), len(sx)
+    mx, p = np.asarray(mx, float), len(mx)
     full = np.zeros((p, p))
     full[np.tril_indices(p)] = sxx
     full = full + np.tril(full, -1).T
-    mean, ybar = sx / n, sy / n
-    return mean, full / n - np.outer(mean, mean), np.asarray(sxy, float) / n - mean * ybar, ybar
+    return mx, full / n, np.asarray(sxy, float) / n, my
 
 
 def _elastic(r: np.ndarray, c: np.ndarray, alpha: float, l1: float) -> np.ndarray:
@@ -150,9 +166,9 @@ def _pls(r: np.ndarray, c: np.ndarray, components: int) -> np.ndarray:
     return b
 
 
-def solve(model: LinearModel, features: Sequence[str], n: float, sx, sxx, sxy, sy: float) -> tuple[np.ndarray, float]:
-    """Coefficients over all `features` (zero outside the model's) and intercept, in centred units."""
-    mean, cov, cxy, ybar = unpack(n, sx, sxx, sxy, sy)
+def solve(model: LinearModel, features: Sequence[str], n: float, mx, sxx, sxy, my: float) -> tuple[np.ndarray, float]:
+    """Coefficients over all `features` (zero outside the model's) and intercept."""
+    mean, cov, cxy, ybar = unpack(n, mx, sxx, sxy, my)
     use = np.array([features.index(f) for f in model.features])
     sd = np.sqrt(np.clip(np.diag(cov)[use], 0, None))
     sd[sd == 0] = 1.0
@@ -187,11 +203,11 @@ def fit_folds(sums: DataFrame, keys: Sequence[str], features: Sequence[str], mod
             out = []
             for row in batch.to_dict("records"):
                 for m in models:
-                    beta, intercept = solve(m, features, row["n"], row["sx"], row["sxx"], row["sxy"], row["sy"])
+                    beta, intercept = solve(m, features, row["n"], row["mx"], row["sxx"], row["sxy"], row["my"])
                     out.append([*[row[k] for k in keys], m.name, beta.tolist(), intercept])
             yield pd.DataFrame(out, columns=[f.name for f in schema])
 
-    return sums.select(*keys, "n", "sx", "sxx", "sxy", "sy").mapInPandas(run, schema)
+    return sums.select(*keys, "n", "mx", "sxx", "sxy", "my").mapInPandas(run, schema)
 
 
 def apply_fits(
@@ -201,9 +217,9 @@ def apply_fits(
 
     With `how="left"` all rows stay, unpredictable ones with a null.
     """
-    linear = F.col("intercept") + F.lit(grams.centre[grams.target])
+    linear = F.col("intercept")
     for i, f in enumerate(grams.features):
-        linear = linear + F.col("beta")[i] * (F.col(f) - F.lit(grams.centre[f]))
+        linear = linear + F.col("beta")[i] * F.col(f)
     rows = df if how == "left" else df.dropna(subset=grams.features)
     if not keys:
         rows, fits, keys = rows.withColumn("_all", F.lit(1)), fits.withColumn("_all", F.lit(1)), ["_all"]
@@ -231,13 +247,8 @@ def fit_by_key(
 def coefficients(fits: DataFrame, grams: Grams, keys: Sequence[str] = ()) -> DataFrame:
     """Fits in the units of the data: one row per model and feature, and the intercept as `(intercept)`."""
     names = F.array(*[F.lit(f) for f in grams.features])
-    centre = F.array(*[F.lit(grams.centre[f]) for f in grams.features])
-    shift = F.aggregate(
-        F.arrays_zip(F.col("beta").alias("b"), centre.alias("c")), F.lit(0.0), lambda acc, z: acc + z["b"] * z["c"]
-    )
-    intercept = F.col("intercept") + grams.centre[grams.target] - shift
     rows = F.concat(
         F.arrays_zip(names.alias("feature"), F.col("beta").alias("value")),
-        F.array(F.struct(F.lit("(intercept)").alias("feature"), intercept.alias("value"))),
+        F.array(F.struct(F.lit("(intercept)").alias("feature"), F.col("intercept").alias("value"))),
     )
     return fits.select(*keys, "model", F.explode(rows).alias("_r")).select(*keys, "model", "_r.feature", "_r.value")

@@ -121,6 +121,16 @@ def _(v):
     return evaluate.observed_only(days, ["LST_K_age"]).select("site", "date", r("LST_K_int", "LST_K"))
 
 
+@query("l2_offset_columns", f"SELECT site, {rsql('regr_slope(y, x1)', 'slope')}, {rsql('corr(y, x1) * stddev_pop(x1)', 'joint')} FROM samples GROUP BY 1")
+def _(v):
+    """Every other site measures x1 from a zero far away; slopes must not notice."""
+    far = F.when(F.substring("site", 2, 2).cast("int") % 2 == 0, F.lit(2.0**26)).otherwise(0.0)
+    fits, grams = linear.fit_by_key(v.samples.withColumn("x", F.col("x1") + far), ["x"], "y", ["site"], [LinearModel("m", ("x",), "ols")])
+    spread = v.samples.groupBy("site").agg((F.corr("y", "x1") * F.stddev_pop("x1")).alias("joint"))
+    slopes = linear.coefficients(fits, grams, ["site"]).where("feature = 'x'")
+    return slopes.join(spread, "site").select("site", r("value", "slope"), r("joint"))
+
+
 @query("v12_line_of_fit", f"SELECT site, {rsql('regr_slope(0.05 * x1 + x2, y)', 'slope')}, {rsql('regr_intercept(0.05 * x1 + x2, y)', 'intercept')} FROM samples GROUP BY 1")
 def _(v):
     rows = v.samples.withColumn("pred", F.col("x1") * 0.05 + F.col("x2"))

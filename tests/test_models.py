@@ -33,6 +33,17 @@ def direct(train, test, alpha):
     return ((test[X] - mean) / sd).to_numpy() @ b + y.mean()
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_offsets_of_one_site_do_not_touch_another(spark, turn):
+    rng = np.random.default_rng(5)
+    rows = [(s, offset + float(x), 2 * float(x) + float(e)) for s, offset in (("low", 0.0), ("high", 1e8)) for x, e in zip(rng.normal(0, 1, 1500), rng.normal(0, 0.1, 1500))]
+    df = spark.createDataFrame(rows[::turn], "site string, x double, y double").coalesce(1)
+    fits, grams = linear.fit_by_key(df, ["x"], "y", ["site"], [LinearModel("m", ("x",), "ols")])
+    got = {r["site"]: r["value"] for r in linear.coefficients(fits, grams, ["site"]).where("feature = 'x'").collect()}
+    want = {r["site"]: r["b"] for r in df.groupBy("site").agg(F.regr_slope("y", "x").alias("b")).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 @pytest.mark.parametrize("alpha", [0.0, 10.0])
 def test_subtracted_fit_equals_direct_fit(df, table, alpha):
     model = LinearModel("m", tuple(X), "ridge" if alpha else "ols", alpha)

@@ -104,17 +104,25 @@ def test_densify_fixed_period_drops_rows_outside(spark):
     assert column(out, "x", "date") == [None] * 8 + [2.0] + [None] * 2
 
 
-@pytest.mark.parametrize("direct", [10, 1_000_000])
-def test_quantiles_match_numpy(spark, direct):
-    rng = np.random.default_rng(1)
-    data = {"a": rng.normal(290, 5, 501), "b": np.repeat([1.0, 2.0, 2.0, 7.0], 5), "c": np.array([4.0]), "d": rng.exponential(1, 64) ** 4}
-    rows = [(k, float(x)) for k, xs in data.items() for x in xs] + [("a", None)]
-    df = spark.createDataFrame(rows, "site string, x double")
-    got = {r["site"]: r for r in blocks.group_quantiles(df, ["site"], "x", {"p10": 0.1, "p50": 0.5, "p99": 0.99}, 16, direct).collect()}
-    for k, xs in data.items():
-        np.testing.assert_allclose([got[k]["p10"], got[k]["p50"], got[k]["p99"]], np.quantile(xs, [0.1, 0.5, 0.99]), rtol=1e-12)
-    total = blocks.group_quantiles(df, [], "x", {"p50": 0.5}).first()["p50"]
-    assert total == pytest.approx(float(np.median(np.concatenate(list(data.values())))))
+@pytest.mark.parametrize("parts", [2, 16, 256])
+def test_quantiles_match_numpy(spark, parts):
+    rng = np.random.default_rng(3)
+    rows = [("a", float(x)) for x in rng.normal(0, 1, 501)] + [("b", float(x)) for x in rng.integers(0, 3, 400)] + [("c", 5.0)] * 30 + [("d", 1e8 + float(x)) for x in rng.normal(0, 1e-3, 99)]
+    df = spark.createDataFrame(rows + [("a", None), ("a", float("nan")), ("e", None), ("e", float("nan"))], "site string, x double")
+    got = {r["site"]: r for r in blocks.group_quantiles(df, ["site"], "x", {"p10": 0.1, "p50": 0.5, "p99": 0.99}, parts).collect()}
+    assert sorted(got) == ["a", "b", "c", "d"]
+    for site, row in got.items():
+        values = [x for s, x in rows if s == site]
+        assert np.allclose([row["p10"], row["p50"], row["p99"]], np.quantile(values, [0.1, 0.5, 0.99]), rtol=1e-14, atol=1e-14)
+    total = blocks.group_quantiles(df, [], "x", {"p50": 0.5}, parts).first()["p50"]
+    assert total == pytest.approx(np.median([x for _, x in rows]))
+
+
+def test_quantiles_with_infinite_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([("a", x) for x in (-inf, 1.0, 2.0, 3.0, inf)] + [("b", inf), ("b", inf), ("c", -1.7e308), ("c", 1.7e308)], "site string, x double")
+    got = {r["site"]: (r["low"], r["mid"]) for r in blocks.group_quantiles(df, ["site"], "x", {"low": 0.0, "mid": 0.5}, 4).collect()}
+    assert got["a"] == (-inf, 2.0) and got["b"] == (inf, inf) and got["c"][0] == -1.7e308
 
 
 def test_rolling_is_hidden_in_long_gaps(spark):
