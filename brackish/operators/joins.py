@@ -47,7 +47,6 @@ def asof_nearest(
     t: str,
     tolerance: float,
     cols: Sequence[str],
-    shared_times: bool = False,
 ) -> DataFrame:
     """Each left row with the nearest right row within `tolerance`; of two equally near, the earlier.
 
@@ -55,14 +54,20 @@ def asof_nearest(
     are laid on one axis and the previous and next right row are carried by
     windows over time blocks; right rows close to a block edge are copied
     across it. Cost is that of a sort, however many rows lie within reach.
-    Adds the columns, `{t}_match` and `{t}_gap`, null where nothing is near.
-    With `shared_times` (pixels of one overpass) every distinct time is matched
-    once and the matches are joined back, so rows of one time stay spread out.
+    Adds the columns, `{t}_match` and `{t}_gap`, null where nothing is near;
+    a tolerance of zero matches equal times only. Every distinct time is
+    matched once and the matches are joined back, so the pixels of one
+    overpass never share a window.
     """
-    if shared_times:
-        times = left.select(*keys, t).distinct()
-        return left.join(asof_nearest(times, right, keys, t, tolerance, cols), [*keys, t])
-    length = tolerance * 64
+    times = left.select(*keys, t).distinct()
+    return left.join(_asof_times(times, right, keys, t, tolerance, cols), [*keys, t], "left")
+
+
+def _asof_times(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, tolerance: float, cols: Sequence[str]
+) -> DataFrame:
+    """`asof_nearest` for distinct times."""
+    length = tolerance * 64 or 1
     block = F.floor(F.col(t) / length)
     from_start, to_end = F.col(t) - block * length, (block + 1) * length - F.col(t)
     homes = F.array_compact(

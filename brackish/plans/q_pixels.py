@@ -10,9 +10,9 @@ SCENE = ["site", "scene"]
 AX, AY = "abs(px_x)", "abs(px_y)"
 
 
-@query("q12_valid_fraction", f"SELECT site, scene, {rsql('count(LST) / count(*)', 'valid_frac')} FROM clear GROUP BY 1, 2 HAVING count(LST) / count(*) >= 0.05")
+@query("q12_valid_fraction", f"SELECT site, scene, {rsql('count(LST) / count(*)', 'valid_frac')} FROM clear GROUP BY 1, 2 HAVING count(LST) / count(*) >= 0.03")
 def _(v):
-    return pixels.gate_valid_fraction(v.clear, SCENE, "LST", 0.05).select("site", "scene", r("valid_frac"))
+    return pixels.gate_valid_fraction(v.clear, SCENE, "LST", 0.03).select("site", "scene", r("valid_frac"))
 
 
 @query(

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,7 +42,28 @@ def durable_folder(spark: SparkSession) -> str:
 
 @functools.cache
 def _private_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
+    folder = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+_JOB: ContextVar[str | None] = ContextVar("job folder", default=None)
+
+
+@contextmanager
+def job(spark: SparkSession) -> Iterator[str]:
+    """What is settled inside goes into one folder, which is removed at the end.
+
+    Wrap the whole job, its action included: tables returned from it are computed lazily from that folder.
+    """
+    folder = f"{durable_folder(spark).rstrip('/')}/job-{uuid.uuid4().hex}"
+    token = _JOB.set(folder)
+    try:
+        yield folder
+    finally:
+        _JOB.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -48,6 +74,7 @@ def settle(df: DataFrame) -> DataFrame:
     which then broadcasts it below `spark.sql.autoBroadcastJoinThreshold`
     and shuffles it above - no broadcast hint is needed anywhere.
     """
-    path = f"{durable_folder(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    folder = _JOB.get() or durable_folder(df.sparkSession).rstrip("/")
+    path = f"{folder}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,8 @@ import time
 import duckdb
 import pandas as pd
 
+from brackish.session import job
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -47,7 +49,11 @@ def kind(dtype: str) -> str:
 
 def compare(spark, con, folder: str, name: str, build, sql: str | None) -> str:
     """An empty string when both agree, otherwise what differs."""
-    df = build(spark, folder)
+    with job(spark):
+        return _compare(con, build(spark, folder), sql)
+
+
+def _compare(con, df, sql: str | None) -> str:
     plan = df._jdf.queryExecution().executedPlan().toString()
     if "CartesianProduct" in plan or "NestedLoop" in plan:
         return "the plan forms a product"
@@ -67,7 +73,7 @@ def compare(spark, con, folder: str, name: str, build, sql: str | None) -> str:
     if len(got) != len(want):
         return "; ".join([*notes, f"rows {len(got)} vs {len(want)}"])
     if not len(got):
-        return "; ".join(notes)
+        return "; ".join([*notes, "no rows on either side"])
     a, b = _canonical(got), _canonical(want)
     bad = (a.fillna("<null>") != b.fillna("<null>")).any(axis=1)
     if bad.any():

@@ -27,7 +27,7 @@ def test_asof_brute_force_across_blocks(spark):
     got = {(r["site"], r["t"]): r["t_match"] for r in out.collect()}
     assert len(got) == len(left)
     twice = spark.createDataFrame(left + left, "site string, t long")
-    again = joins.asof_nearest(twice, spark.createDataFrame(right, "site string, t long, v double"), ["site"], "t", 3, ["v"], shared_times=True)
+    again = joins.asof_nearest(twice, spark.createDataFrame(right, "site string, t long, v double"), ["site"], "t", 3, ["v"])
     assert again.count() == 2 * len(left) and again.distinct().exceptAll(out.select(again.columns)).count() == 0
     for s, t in left:
         near = [(abs(u - t), u) for z, u, _ in right if z == s and abs(u - t) <= 3]
