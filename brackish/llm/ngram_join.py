@@ -191,9 +191,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     reps = real.groupBy("n", "x1", "x2").agg(F.min(F.struct("doc", "keys_high", "keys_low", "bits")).alias("r"), F.count_distinct("doc").alias("copies"))
     reps = settle(reps.select("n", "x1", "x2", "r.*", "copies"))
 
-    shared = _keys(rows, size).groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
-    shared = settle(shared)
-    parts = settle(_keys(rows, size).join(shared, "key").join(reps.select("doc"), "doc", "left_semi").distinct())
+    shared = settle(_keys(rows, size).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    parts = settle(_keys(rows, size).join(shared, "key"))
+    parts = settle(parts.join(reps.select("doc"), "doc", "left_semi").distinct())
     often = parts.groupBy("key").agg(F.count("*").alias("n_docs")).where("n_docs > 1")
     parts = settle(parts.join(often, "key"))
 
