@@ -17,9 +17,9 @@ and passages that a third of all documents share are used only where a document
 
 Candidates are taken in three turns, each leaving out pairs that are already in one component: with the
 smallest document of the part that a document shares most parts with; with the smallest of any of its
-parts; with any other document of its parts. A dense sketch of 1,024 bits drops candidates whose
-Hamming distance, a lower bound of the symmetric difference, is too large; the others are verified on the
-sets. No link is lost, and a group of near copies costs a few comparisons for each of its members.
+parts; with any other document of its parts, in pairs of blocks. A dense sketch of 1,024 bits drops
+candidates whose Hamming distance, a lower bound of the symmetric difference, is too large; only the
+others are written and verified on the sets. No link is lost, and a group of near copies costs a few comparisons for each of its members.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing;
 its component is its own id. Rows with one id count as one document in links, each with its own
@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 from brackish.llm.tables import components, settle, small
 from brackish.llm.words import Stretches, Words, mix, read_words
 
-SHINGLE, BITS = 5, 1024
+SHINGLE, BITS, BLOCK = 5, 1024, 1024
 _BANDS = 30
 _KEY = np.uint64(0xFFFFFFFFFFFFFFE0)
 
@@ -182,6 +182,36 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.where(fits).where(distance <= least).select("a", "b")
 
 
+def _within(own: DataFrame, grouped: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of documents with a common part, in different components, that sizes and dense sketches do not rule out.
+
+    The documents of a part are cut into blocks, and each pair of blocks is compared by itself: neither memory nor
+    what is written follows the square of a part's size.
+    """
+    named = _named(own, grouped)
+    sizes = named.groupBy("key").agg(F.count("*").alias("m"), F.min("group").alias("g"), F.max("group").alias("h")).where("g < h")
+    sizes = sizes.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = named.join(sizes, "key").join(reps.groupBy("doc").agg(F.min(F.struct("n", "bits")).alias("r")).select("doc", "r.*"), "doc")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", "doc", "group", "n", "bits", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, group, n, block = (t.column(c).to_numpy() for c in ("doc", "group", "n", "block"))
+        bits = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        p, q = np.flatnonzero(block == t.column("one")[0].as_py()), np.flatnonzero(block == t.column("two")[0].as_py())
+        distance = np.zeros((len(p), len(q)), np.int32)
+        for word in range(bits.shape[1]):
+            distance += np.bitwise_count(bits[p, word][:, None] ^ bits[q, word][None, :])
+        a, b = n[p][:, None], n[q][None, :]
+        fits = (group[p][:, None] != group[q][None, :]) & (ids[p][:, None] != ids[q][None, :])
+        fits &= (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & ((100 + percent) * distance <= (100 - percent) * (a + b))
+        i, j = np.nonzero(fits)
+        return pa.table({"a": np.minimum(ids[p[i]], ids[q[j]]), "b": np.maximum(ids[p[i]], ids[q[j]])})
+
+    return rows.groupBy("key", "one", "two").applyInArrow(compare, "a long, b long").distinct()
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """(key, n_shingles, component_id), a row for every row of `docs`; similarity 3/4 or more links."""
     percent = 75
@@ -214,16 +244,10 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     first = stars.groupBy(F.col("doc").alias("b")).agg(F.max(F.struct("n", (-F.col("low")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")
     links = _verify(_possible(first, reps, percent), sets, percent)
     grouped = components(links)
-    for turn in (stars.select(F.col("low").alias("a"), F.col("doc").alias("b")), None):
-        if turn is None:
-            named = _named(own, grouped)
-            other = named.select("key", F.col("doc").alias("b"), F.col("group").alias("group_b"))
-            turn = named.select("key", F.col("doc").alias("a"), F.col("group").alias("group_a")).join(other, "key").where("a < b and group_a <> group_b")
-        else:
-            one = _named(turn.withColumnRenamed("a", "doc"), grouped).withColumnsRenamed({"doc": "a", "group": "group_a"})
-            turn = _named(one.withColumnRenamed("b", "doc"), grouped).withColumnsRenamed({"doc": "b", "group": "group_b"}).where("group_a <> group_b")
-        more = _verify(_possible(turn, reps, percent), sets, percent)
-        links = links.unionByName(more)
+    one = _named(stars.select(F.col("low").alias("doc"), F.col("doc").alias("b")), grouped).withColumnsRenamed({"doc": "a", "group": "group_a"})
+    both = _named(one.withColumnRenamed("b", "doc"), grouped).withColumnsRenamed({"doc": "b", "group": "group_b"})
+    for turn in (lambda: _possible(both.where("group_a <> group_b"), reps, percent), lambda: _within(own, grouped, reps, percent)):
+        links = links.unionByName(_verify(turn(), sets, percent))
         grouped = components(links.unionByName(grouped.select(F.col("component").alias("a"), F.col("id").alias("b"))))
 
     # back from classes to rows
