@@ -470,7 +470,7 @@ def _(v):
     (SELECT *, CASE WHEN rd > 0 THEN rd END AS r, CASE WHEN nr > 0 THEN nr END AS n, CASE WHEN gr > 0 THEN gr END AS g, CASE WHEN sw > 0 THEN sw END AS s FROM q)),
     m AS (SELECT date, avg(LE) / 100 AS srad FROM flux_hh GROUP BY 1),
     z AS (SELECT region, site, date, coalesce(MNDWI > 0 AND NDVI < 0.10, false) AS water, CASE WHEN NOT coalesce(MNDWI > 0 AND NDVI < 0.10, false) THEN 1 + 2 * NDVI + 0.1 * (LST_K - 290) + srad END AS et
-    FROM p JOIN inside USING (pos) LEFT JOIN m USING (date))
+    FROM p JOIN inside USING (pos) LEFT JOIN m USING (date) WHERE region % 2 = CAST(substr(site, 2) AS BIGINT) % 2)
     SELECT region, site, date, count(*) AS inside_px, count(CASE WHEN water THEN 1 END) AS water_px, count(et) AS pixels, {rsql('avg(et)', 'mean_ET')}, {rsql('min(et)', 'min_ET')}, {rsql('max(et)', 'max_ET')} FROM z GROUP BY 1, 2, 3""",
 )
 def _(v):
@@ -482,7 +482,9 @@ def _(v):
     def predict(df):
         return df.withColumn("pred", F.col("NDVI") * 2 + 1 + (F.col("LST_K") - 290) * 0.1 + F.col("srad"))
 
-    out = map_summary(mapped_pixels(v.pixels, v.edges, met, ["NDVI", "LST_K", "srad"], predict))
+    looks = v.pixels.withColumn("zone", F.expr("cast(substring(site, 2) as bigint) % 2"))
+    edges = v.edges.withColumn("zone", F.col("region") % 2)
+    out = map_summary(mapped_pixels(looks, edges, met, ["NDVI", "LST_K", "srad"], predict, zone=["zone"]))
     return out.select("region", "site", "date", "inside_px", "water_px", "pixels", r("mean_ET"), r("min_ET"), r("max_ET"))
 
 
