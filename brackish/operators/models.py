@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -73,73 +73,62 @@ def huber(epsilon: float = 1.35) -> Fitter:
     return ml_fitter(LinearRegression(loss="huber", epsilon=epsilon, standardization=True))
 
 
-def knn(k: int = 10, weights: str = "distance", block_rows: int = 50_000) -> Fitter:
+def knn(k: int = 10, weights: str = "distance", block_rows: int = 20_000) -> Fitter:
     """Exact nearest neighbours on standardised features.
 
-    Training rows reach the tasks in blocks of at most `block_rows`, one
-    broadcast each; a test row keeps its `k` best of every block and the best
-    of those in the end. Memory is bounded by the block, and nothing is left
-    out however large the training table is.
+    Training rows and test rows are dealt into blocks of about `block_rows`, and every test block meets every
+    training block in a task of its own; a test row keeps its `k` best of each block and the best of those in
+    the end. No rows reach the driver, memory is bounded by two blocks, and nothing is left out. Of equally
+    near rows the smaller targets count.
     """
 
     def fit(train: DataFrame, features: Sequence[str], target: str) -> Predictor:
         features = list(features)
-        rows = settle(train.dropna(subset=[*features, target]).select(*features, F.col(target).alias("_y")))
+        rows = train.dropna(subset=[*features, target]).select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y"))
+        rows = settle(rows.withColumn("_at", F.monotonically_increasing_id()))
         stats = rows.agg(
             F.count(F.lit(1)).alias("n"),
             *[F.avg(f).alias(f"m_{f}") for f in features],
             *[F.stddev_pop(f).alias(f"s_{f}") for f in features],
         ).first()
-        mean = np.array([stats[f"m_{f}"] for f in features])
-        sd = np.array([stats[f"s_{f}"] or 1.0 for f in features])
         blocks = max(1, -(-stats["n"] // block_rows))
-        if blocks > 1:
-            rows = settle(rows.withColumn("_block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))))
-
-        def best_of(df: DataFrame, block: int) -> DataFrame:
-            part = rows.where(F.col("_block") == block) if blocks > 1 else rows
-            table = part.select(*features, "_y").toPandas()
-            shared = df.sparkSession.sparkContext.broadcast(
-                ((table[features].to_numpy(float) - mean) / sd, table["_y"].to_numpy(float))
-            )
-
-            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                x, y = shared.value
-                norm, take = (x**2).sum(axis=1), min(k, len(y))
-                for batch in batches:
-                    q = (batch[features].to_numpy(float) - mean) / sd
-                    found = []
-                    for start in range(0, len(q), 256):
-                        part = q[start : start + 256]
-                        d2 = norm - 2 * part @ x.T
-                        near = np.argpartition(d2, take - 1, axis=1)[:, :take]
-                        dist = np.sqrt(((x[near] - part[:, None, :]) ** 2).sum(axis=2))
-                        for d, v in zip(dist, y[near]):
-                            found.append([{"d": float(a), "y": float(b)} for a, b in zip(d, v)])
-                    yield batch.assign(_near=found)
-
-            schema = T.StructType([*df.schema, T.StructField("_near", _NEAR)])
-            return df.mapInPandas(run, schema)
+        scaled = [((F.col(f) - F.lit(stats[f"m_{f}"])) / F.lit(stats[f"s_{f}"] or 1.0)).alias(f) for f in features]
+        known = rows.select(*scaled, "_y", F.pmod(F.xxhash64("_at"), F.lit(blocks)).alias("_block"))
+
+        def nearest(test: pa.Table, known: pa.Table) -> pa.Table:
+            ids = test.column("_row")
+            if not len(ids) or not known.num_rows:
+                return pa.table({"_row": pa.array([], pa.int64()), "_near": pa.array([], _NEAR_ARROW)})
+            x, q = (np.stack([t.column(f).to_numpy() for f in features], axis=1) for t in (known, test))
+            y, norm, take = known.column("_y").to_numpy(), (x**2).sum(axis=1), min(k, known.num_rows)
+            found = []
+            for start in range(0, len(q), 256):
+                part = q[start : start + 256]
+                d2 = norm - 2 * part @ x.T
+                edge = np.partition(d2, take - 1, axis=1)[:, take - 1]
+                for row, far, point in zip(d2, edge, part):
+                    near = np.flatnonzero(row <= far + 1e-9 * (1 + abs(far)))
+                    dist = np.sqrt(((x[near] - point) ** 2).sum(axis=1))
+                    best = np.lexsort((y[near], dist))[:take]
+                    found.append([{"d": float(a), "y": float(b)} for a, b in zip(dist[best], y[near][best])])
+            return pa.table({"_row": ids, "_near": pa.array(found, _NEAR_ARROW)})
 
         def predict(df: DataFrame) -> DataFrame:
-            df = df.dropna(subset=features)
-            if blocks == 1:
-                near = best_of(df, 0)
-            else:
-                numbered = settle(df.withColumn("_row", F.monotonically_increasing_id()))
-                found = reduce(DataFrame.unionAll, [best_of(numbered, b) for b in range(blocks)])
-                near = found.groupBy("_row").agg(
-                    *[F.first(c).alias(c) for c in df.columns], F.flatten(F.collect_list("_near")).alias("_near")
-                )
-            return near.withColumn("_near", F.slice(F.array_sort("_near"), 1, k)).select(
-                *df.columns, _neighbour_mean(weights).alias("pred")
-            )
+            numbered = settle(df.dropna(subset=features).withColumn("_row", F.monotonically_increasing_id()))
+            tiles = max(1, -(-numbered.count() // block_rows))
+            test = numbered.select("_row", *scaled, F.pmod(F.xxhash64("_row"), F.lit(tiles)).alias("_tile"))
+            test = test.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+            each = known.withColumn("_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
+            met = test.groupBy("_block", "_tile").cogroup(each.groupBy("_block", "_tile")).applyInArrow(nearest, T.StructType([T.StructField("_row", T.LongType()), T.StructField("_near", _NEAR)]))
+            best = met.groupBy("_row").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_near"))), 1, k).alias("_near"))
+            return numbered.join(best, "_row").select(*df.columns, _neighbour_mean(weights).alias("pred"))
 
         return predict
 
     return fit
 
 
+_NEAR_ARROW = pa.list_(pa.struct([("d", pa.float64()), ("y", pa.float64())]))
 _NEAR = T.ArrayType(T.StructType([T.StructField("d", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 
 
