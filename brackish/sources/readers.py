@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brackish.functions import meteorology as met
 from brackish.functions.gates import known
 from brackish.functions.names import first_col, pick
+from brackish.operators.blocks import first_per_group
 
 BASE_VARIABLES = ("LE", "H", "NETRAD", "G", "TA", "USTAR", "WTD", "LE_SSITC_TEST", "WD", "WS", "PA")
 DAILY_COLUMNS = (
@@ -138,7 +139,8 @@ def read_met_hourly(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
     """Hourly reanalysis CSVs: files without dates and rows with bad ones are dropped, repeated hours kept once."""
     rows = _by_header(spark, paths, "date", _exact(HOURLY_COLUMNS))
     rows = rows.withColumn("ts", F.try_to_timestamp("_key")).where(F.col("ts").isNotNull())
-    return rows.select("site", "ts", *HOURLY_COLUMNS).dropDuplicates(["site", "ts"])
+    order = [F.struct(*HOURLY_COLUMNS)]  # of repeated hours the one with the least values, whatever the order of files
+    return first_per_group(rows.select("site", "ts", *HOURLY_COLUMNS), ["site", "ts"], order)
 
 
 def hourly_to_daily_met(hourly: DataFrame) -> DataFrame:
