@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 from brackish.session import settle as _write
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a step is written: shuffle files end with the query, and whole texts cross to Python a few at a time.
+WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,21 +31,23 @@ def small(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[p
 
 
 @contextmanager
-def _shuffles_end_with_the_query(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def _settings(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in WHILE_WRITING}
+    for k, v in WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back; its shuffle files go when the write ends."""
-    with _shuffles_end_with_the_query(df.sparkSession):
+    """Write `df` to the shared folder and read it back, under the settings above."""
+    with _settings(df.sparkSession):
         return _write(df)
 
 
