@@ -87,3 +87,31 @@ def test_index_guards(spark):
     strict = [r[0] for r in df.select(spectral.strict_ratio(F.col("nir"), F.col("red"))).collect()]
     assert clipped[0] is None and clipped[1] == 1.0 and clipped[2] == pytest.approx(0.6)
     assert strict[0] is None and strict[1] is None and strict[2] == pytest.approx(0.6)
+
+
+def halfhours(site, ta=lambda i: 20.0, le=100.0, **more):
+    start = dt.datetime(2020, 6, 1)
+    return [(site, start + dt.timedelta(minutes=30 * i), le, 100.0, 300.0, 0.0, ta(i), 0.5, 0) for i in range(48)]
+
+
+HALFHOUR = "site string, ts timestamp, LE double, H double, NETRAD double, G double, TA double, USTAR double, QC int"
+
+
+def test_missing_temperature_does_not_cost_the_day(spark):
+    from brackish.plans.daily_et import daily_et
+
+    rows = halfhours("a", lambda i: None if i % 4 == 0 else 20.0)
+    day = daily_et(spark.createDataFrame(rows, HALFHOUR)).first()
+    assert day["coverage"] == 1.0 and day["ET_closed_mm"] == pytest.approx(24 * 3600 * 150.0 / ((2.501 - 0.00237 * 20) * 1e6))
+
+
+def test_every_site_gets_its_best_route(spark):
+    from brackish.plans.daily_et import best_daily_et
+
+    day = dt.date(2020, 6, 1)
+    published = spark.createDataFrame([("a", day, 80.0, 70.0, 20.0, 60.0, 90.0)], "site string, date date, LE_closed double, LE_open double, TA_C double, LE_CORR_25 double, LE_CORR_75 double")
+    hourly = spark.createDataFrame(halfhours("a") + halfhours("b"), HALFHOUR)
+    raw = spark.createDataFrame(halfhours("b") + halfhours("c", le=90.0), HALFHOUR)
+    got = {r["site"]: r for r in best_daily_et(published, hourly, raw).collect()}
+    assert {s: r["CLOSURE"] for s, r in got.items()} == {"a": "ONEFlux_LE_CORR", "b": "FLUXNET_bowen_G0", "c": "BASE_bowen_ratio"}
+    assert got["a"]["ET_lo_mm"] < got["a"]["ET_hi_mm"] and got["c"]["ET_closed_mm"] > got["c"]["ET_open_mm"] and got["b"]["ET_lo_mm"] is None

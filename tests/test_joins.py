@@ -146,3 +146,18 @@ def test_footprint_sums_to_one_and_lies_upwind(spark):
     out = footprint.climatology(df, ["site"], F.lit(4.0), 200, 10)
     assert out.agg(F.sum("w")).first()[0] == pytest.approx(1.0)
     assert out.where("y < 0 AND w > 0").count() == 0
+
+
+def test_asof_without_tolerance_matches_equal_times(spark):
+    left = spark.createDataFrame([("a", 5), ("a", 6), ("a", None), ("b", 5)], "site string, t long")
+    right = spark.createDataFrame([("a", 5, 50.0), ("a", 7, 70.0)], "site string, t long, v double")
+    got = sorted((r["site"], r["t"] or -1, r["v"]) for r in joins.asof_nearest(left, right, ["site"], "t", 0, ["v"]).collect())
+    assert got == [("a", -1, None), ("a", 5, 50.0), ("a", 6, None), ("b", 5, None)]
+
+
+def test_equal_coordinates_of_two_zones_stay_apart(spark):
+    ring = [(0, 0), (100, 0), (100, 100), (0, 100)]
+    edges = [("z1", 1, *map(float, a), *map(float, b)) for a, b in zip(ring, ring[1:] + ring[:1])]
+    pixels_ = spark.createDataFrame([("z1", "A", 50.0, 50.0), ("z2", "B", 50.0, 50.0)], "zone string, site string, px double, py double")
+    out = joins.in_rings(pixels_, spark.createDataFrame(edges, "zone string, region int, x1 double, y1 double, x2 double, y2 double"), "region", "px", "py", keys=["zone"])
+    assert [r["site"] for r in out.collect()] == ["A"]
