@@ -61,3 +61,28 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     measured = Q.measure(cases.empty(spark))
     assert Q.judge(measured, Q.certify(measured, labels)).count() == 0
+
+
+def test_query_equals_its_sql(spark):
+    from brackish.llm.queries import ORACLES, QUERIES
+    from tests.oracle import compare, connect
+
+    folder = "/root/testdata/sf0.001"
+    assert compare(spark, connect(folder), folder, "op1_quality_rules", QUERIES["op1_quality_rules"], ORACLES["op1_quality_rules"]) == ""
+
+
+def test_sql_finds_the_same_cutoffs(spark, tmp_path):
+    """On a table with enough labels for cutoffs, which the small test tables lack."""
+    import duckdb
+
+    docs, labels = labelled(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.where("doc_id is not null and quality is not null").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    from brackish.llm.queries import ORACLES, QUERIES
+
+    got = QUERIES["op1_quality_rules"](spark, str(tmp_path)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    want = con.sql(ORACLES["op1_quality_rules"]).df().sort_values("doc_id").reset_index(drop=True)[list(got.columns)]
+    assert (got == want).all().all() and 0 < got["kept"].sum() < len(got)
