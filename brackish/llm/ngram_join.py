@@ -189,8 +189,12 @@ def _within(own: DataFrame, grouped: DataFrame, reps: DataFrame, percent: int) -
     what is written follows the square of a part's size.
     """
     named = _named(own, grouped)
-    sizes = named.groupBy("key").agg(F.count("*").alias("m"), F.min("group").alias("g"), F.max("group").alias("h")).where("g < h")
-    sizes = sizes.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    sizes = named.groupBy("key").agg(
+        F.count("*").alias("m"), F.min("group").alias("g"), F.max("group").alias("h"), F.min("doc").alias("a"), F.max("doc").alias("b")
+    )
+    sizes = settle(sizes.where("g < h"))
+    two = _possible(sizes.where("m = 2"), reps, percent)  # a part of two documents is one pair
+    sizes = sizes.where("m > 2").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     rows = named.join(sizes, "key").join(reps.groupBy("doc").agg(F.min(F.struct("n", "bits")).alias("r")).select("doc", "r.*"), "doc")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -209,7 +213,7 @@ def _within(own: DataFrame, grouped: DataFrame, reps: DataFrame, percent: int) -
         i, j = np.nonzero(fits)
         return pa.table({"a": np.minimum(ids[p[i]], ids[q[j]]), "b": np.maximum(ids[p[i]], ids[q[j]])})
 
-    return rows.groupBy("key", "one", "two").applyInArrow(compare, "a long, b long").distinct()
+    return rows.groupBy("key", "one", "two").applyInArrow(compare, "a long, b long").unionByName(two).distinct()
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
