@@ -149,6 +149,6 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
     reps = reps.join(links, "id", "left").join(grouped, "id", "left")
     reps = reps.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
     linked = rows.join(reps, ["label", "v"]).groupBy("id").agg(F.max("links").alias("links"), F.min("component").alias("component"))
-    out = vectors.select(F.col(key)).join(linked, F.col(key) == F.col("id"), "left")
+    out = vectors.select(F.col(key)).join(linked.withColumnRenamed("id", "_id"), F.col(key) == F.col("_id"), "left")
     component = F.coalesce(F.col("component"), F.col(key).cast("long"))
     return out.select(key, F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col(key) == component, F.lit(True)).alias("kept"))

@@ -123,11 +123,12 @@ def remove(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
     more = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_words": T.StringType(), "kept_text": T.StringType()}
     kept = [f for f in docs.schema.fields if f.name not in more]
     found = repeats(docs, length, key, text).select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), F.col("spans").alias("_spans"))
-    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.xxhash64(text).alias("_hash"))
-    rows = rows.join(found, (F.col(key).cast("long") == F.col("_doc")) & (F.col("_hash") == F.col("_t")), "left")
-    rows = rows.select(*[F.col(f"`{f.name}`") for f in kept], "_spans")
+    # the columns travel under numbers, so that none clashes with those of the spans
+    plain = docs.select(*[F.col(f"`{f.name}`").alias(f"column_{i}") for i, f in enumerate(kept)])
+    names = [f.name for f in kept]
+    at, own = names.index(text), F.col(f"column_{names.index(key)}").cast("long")
+    rows = plain.join(found, (own == F.col("_doc")) & (F.xxhash64(f"column_{at}") == F.col("_t")), "left").select(*plain.columns, "_spans")
     schema = T.StructType([*kept, *[T.StructField(n, t) for n, t in more.items()]])
-    at = [f.name for f in kept].index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
