@@ -8,7 +8,8 @@ Bundling is linear, so the product of a text's bundle with a prototype is the su
 products of its grams with that prototype; each distinct gram is bound once per slice of rows.
 Bound grams are nearly orthogonal, which gives the length of a bundle from its gram counts.
 
-Learning: each task adds up the bundles of its rows per language, Spark adds the tasks. Only
+Learning: each task adds up the bundles of its rows per language, Spark adds the tasks. A text's
+grams weigh one over their number (and 50), so one long or repetitive text cannot stand for a language. Only
 the prototypes (at most `MAX_LANGUAGES` of `DIMENSIONS` numbers) reach the driver.
 
 Defined results: a null, empty or letterless text gets `und` and score 0, as does every text
@@ -97,11 +98,16 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", dimension
             names = np.array(batch.column(1).to_pylist(), object)
             for first, n, grams, rows in _slices(batch.column(0).to_pylist()):
                 here = names[first : first + n]
+                keys, back = np.unique(grams, return_inverse=True)
+                share = 1 / (np.bincount(rows, minlength=n) + 50.0)[rows]
                 for name in set(here):
-                    keys, counts = np.unique(grams[here[rows] == name], return_counts=True)
+                    own = here[rows] == name
+                    weights = np.bincount(back[own], share[own], len(keys))
                     vector = total.setdefault(name, np.zeros(dimensions))
-                    for i in range(0, len(keys), 2000):
-                        vector += counts[i : i + 2000].astype(np.float32) @ letters.grams(keys[i : i + 2000]).astype(np.float32)
+                    some = np.flatnonzero(weights)
+                    for i in range(0, len(some), 2000):
+                        part = some[i : i + 2000]
+                        vector += weights[part].astype(np.float32) @ letters.grams(keys[part]).astype(np.float32)
         yield pa.RecordBatch.from_pydict({"lang": list(total), "bundle": [v.tolist() for v in total.values()]}, pa.schema([("lang", pa.string()), ("bundle", pa.list_(pa.float64()))]))
 
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -156,6 +162,6 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))) % 4 == 2
 
 
-def accepted(identified: DataFrame, least: float = 0.05) -> DataFrame:
-    """Rows whose language is known: some letters, and a cosine of at least `least`."""
-    return identified.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+def accepted(identified: DataFrame, above: float = 0.0) -> DataFrame:
+    """Rows whose language is known: some letters, and a cosine above `above`."""
+    return identified.where((F.col("lang_pred") != "und") & (F.col("score") > above))
