@@ -1,12 +1,14 @@
 """Packing token pieces into sequences: best fit decreasing, certified by lower bounds.
 
-Pieces are dealt by a hash into groups of about `GROUP_ROWS` rows. Each group packs best fit
-decreasing and computes lower bounds of its bin count from dual feasible functions. What a
-group left in bins that are not full is exchanged: those pieces are dealt anew into fewer
-groups, together with those of other groups, and packed again, until the number of bins meets
-the bound of the whole, or one group alone packs them and no fewer bins come out.
-
-The number of groups follows from the number of pieces, at every size by the same rule; no
+Pieces are dealt by a hash of their row number into groups of about `GROUP_ROWS` rows. Each group
+packs best fit decreasing or bin by bin with exact fills, whichever is better, and computes lower
+bounds of its bin count from dual feasible functions.
+What a group left in bins that are not full is exchanged: those pieces are dealt anew, together with
+those of other groups, and packed again, until the number of bins meets the bound of the whole. A turn
+that saves no bin is dropped, and the next takes a quarter of the rows, those of the emptiest bins; the
+last takes one group.
+
+The number of groups follows from the number of pieces dealt, in every turn by the same rule; no
 group is larger than about `GROUP_ROWS`, whatever the lengths or keys are.
 
 Defined results: a null or empty text is one piece that holds the end id only. Repeated rows
@@ -134,15 +136,53 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, places
 
 
+def exact_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `best_fit`, bin by bin: the longest piece left, then what fills the room with one or two pieces, else the longest that fits.
+
+    Bins are full while short pieces last, so that the room left over gathers in the last bins.
+    """
+    bins, places = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    held: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i in range(len(lengths) - 1, -1, -1):
+        held[int(lengths[i])].append(i)
+    mask = sum(1 << n for n, x in enumerate(held) if x)
+    back = sum(1 << (capacity - n) for n, x in enumerate(held) if x)
+    used = 0
+    while mask:
+        room = capacity
+        while fits := mask & ((2 << room) - 1):
+            if room == capacity or fits >> room:
+                n = fits.bit_length() - 1
+            else:
+                pair = fits & (back >> (capacity - room))
+                if room % 2 == 0 and len(held[room // 2]) == 1:
+                    pair &= ~(1 << (room // 2))
+                n = (pair or fits).bit_length() - 1
+            i = held[n].pop()
+            bins[i], places[i] = used, capacity - room
+            room -= n
+            if not held[n]:
+                mask &= ~(1 << n)
+                back &= ~(1 << (capacity - n))
+        used += 1
+    return bins, places
+
+
+def _better(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The packing with fewer bins, and among equals the one whose room is gathered in fewer bins."""
+    tried = [f(lengths, capacity) for f in (best_fit, exact_fit)]
+    return min(tried, key=lambda x: (x[0].max(), -float((np.bincount(x[0], lengths) ** 2).sum())))
+
+
 def _pack(rows: DataFrame, groups: int, turn: int, capacity: int) -> DataFrame:
     """Deal `rows` into groups and pack each; settled, with the group's bins and bound on every row."""
     names = [c for c in rows.columns if c not in ("sequence_id", "offset", "_fill", "_group", "_bins", "_bound")]
-    dealt = rows.select(*names, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names], F.lit(turn)), F.lit(groups)).alias("_group"))
+    dealt = rows.select(*[F.col(f"`{c}`") for c in names], F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(groups)).alias("_group"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
         lengths = t.column("length").to_numpy()
-        bins, places = best_fit(lengths, capacity)
+        bins, places = _better(lengths, capacity)
         fill = np.bincount(bins, lengths, minlength=1).astype(np.int64)
         base = (turn << 48) + (t.column("_group")[0].as_py() << 24)
         n = len(lengths)
@@ -166,30 +206,34 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     `pieces` is computed once and settled. Sequences have no gaps and hold at most `capacity`.
     """
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    rows = settle(pieces.select(*names))
+    rows = settle(pieces.select(*names, F.monotonically_increasing_id().alias("_row")))  # equal rows spread over the groups
     n = rows.count()
     if not n:
-        return rows.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    done, turn = [], 0
-    groups = -(-n // GROUP_ROWS)
-    now = _pack(rows, groups, turn, capacity)
-    while True:
-        open_bins = now.where(F.col("_fill") < capacity)
-        size = open_bins.agg(F.count("*"), F.countDistinct("sequence_id"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        bound = -(-size[2] // capacity)
-        fewer = max(1, min(-(-size[0] // GROUP_ROWS), groups // 2))
-        if size[1] <= bound or groups == 1:
-            return _all([*done, now], names)
-        turn += 1
-        again = _pack(open_bins, fewer, turn, capacity)
-        if again.select("sequence_id").distinct().count() >= size[1] and fewer == 1:
-            return _all([*done, now], names)
-        done.append(now.where(F.col("_fill") >= capacity))
-        now, groups = again, fewer
-
-
-def _all(parts: list[DataFrame], names: list[str]) -> DataFrame:
-    out = parts[0].select(*names, "sequence_id", "offset")
+        return rows.drop("_row").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    groups, turn, most = -(-n // GROUP_ROWS), 0, n
+    parts = [_pack(rows, groups, turn, capacity)]
+    while groups > 1 or turn:
+        fills = _union(parts).where(F.col("_fill") < capacity).groupBy("_fill").agg(F.count("*").alias("rows"), F.count_if(F.col("offset") == 0).alias("bins")).orderBy("_fill").collect()
+        taken = [0, 0, 0]  # rows, bins and tokens of the emptiest bins, `most` rows or one fill at least
+        for fill, k, b in fills:
+            if taken[0] and taken[0] + k > most:
+                break
+            taken, limit = [taken[0] + k, taken[1] + b, taken[2] + fill * b], fill + 1
+        if taken[1] <= -(-taken[2] // capacity):
+            break
+        chosen, turn = F.col("_fill") < limit, turn + 1
+        again = _pack(_union(parts).where(chosen), -(-taken[0] // GROUP_ROWS), turn, capacity)
+        if again.where("offset = 0").count() < taken[1]:
+            parts = [*[p.where(~chosen) for p in parts], again]
+        elif most <= GROUP_ROWS:
+            break
+        else:
+            most = max(min(most, taken[0]) // 4, GROUP_ROWS)
+    return _union(parts).select(*[F.col(f"`{c}`") for c in names], "sequence_id", "offset")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
     for x in parts[1:]:
-        out = out.unionByName(x.select(*names, "sequence_id", "offset"))
+        out = out.unionByName(x)
     return out

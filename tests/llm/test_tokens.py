@@ -70,6 +70,35 @@ def test_groups_exchange_until_the_bound(spark, monkeypatch):
     assert full.count() == 0
 
 
+def test_no_group_grows_beyond_its_size(spark, monkeypatch):
+    """Bins that cannot be filled, and a third of all rows alike."""
+    monkeypatch.setattr(packing, "GROUP_ROWS", 50)
+    sizes, pack = [], packing._pack
+
+    def watched(*args):
+        out = pack(*args)
+        sizes.extend(r["count"] for r in out.groupBy("_group").count().collect())
+        return out
+
+    monkeypatch.setattr(packing, "_pack", watched)
+    rng = np.random.default_rng(3)
+    rows = [(0, 0, 0, 700)] * 200 + [(i, 0, 0, int(n)) for i, n in enumerate(rng.integers(200, 1000, 400), 1)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long"))
+    assert sorted(r.length for r in packed.collect()) == sorted(r[3] for r in rows)
+    assert max(sizes) <= 2 * 50
+
+
+def test_exact_fills_keep_the_capacity():
+    rng = np.random.default_rng(4)
+    for size in (1, 2, 7, 60, 500):
+        lengths = rng.integers(1, 1025, size)
+        bins, places = packing.exact_fit(lengths, 1024)
+        for b in range(bins.max() + 1):
+            of = np.flatnonzero(bins == b)
+            of = of[np.argsort(places[of])]
+            assert places[of].tolist() == np.cumsum([0, *lengths[of][:-1]]).tolist() and lengths[of].sum() <= 1024
+
+
 def test_bounds_hold_and_bite():
     rng = np.random.default_rng(1)
     for _ in range(30):
