@@ -2,11 +2,11 @@
 
 Pieces are dealt by a hash of their row number into groups of about `GROUP_ROWS` rows. Each group
 packs best fit decreasing or bin by bin with exact fills, whichever is better, and computes lower
-bounds of its bin count from dual feasible functions.
-What a group left in bins that are not full is exchanged: those pieces are dealt anew, together with
-those of other groups, and packed again, until the number of bins meets the bound of the whole. A turn
-that saves no bin is dropped, and the next takes a quarter of the rows, those of the emptiest bins; the
-last takes one group.
+bounds of its bin count from dual feasible functions. A group that meets its bound stays as it is;
+what the others left in bins that are not full is exchanged: dealt anew and packed again. A turn that saves no bin is dropped, and
+the next takes a quarter of the rows, those of the emptiest bins; the last takes one group. Groups
+that are each proven may still leave one bin too many each: when no gap is left to close and the
+bound of all lengths is not met, the emptiest bins of all groups are exchanged in the same way.
 
 The number of groups follows from the number of pieces dealt, in every turn by the same rule; no
 group is larger than about `GROUP_ROWS`, whatever the lengths or keys are.
@@ -98,9 +98,9 @@ def _pieces(rows: list[list], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=["key", "piece", "start", "length", "ids"])
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The greatest bound of the bin count that these dual feasible functions prove."""
-    sizes, counts = np.unique(lengths, return_counts=True)
+def lower_bound(lengths: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
+    """The greatest bound of the bin count that these dual feasible functions prove; `times` counts each of distinct lengths."""
+    sizes, counts = np.unique(lengths, return_counts=True) if times is None else (lengths, times)
     if not len(sizes):
         return 0
     sizes, counts = sizes.astype(np.int64), counts.astype(np.int64)
@@ -195,9 +195,16 @@ def _pack(rows: DataFrame, groups: int, turn: int, capacity: int) -> DataFrame:
     return settle(dealt.groupBy("_group").applyInArrow(pack, f"{kinds}, sequence_id long, offset long, _fill long, _bins long, _bound long"))
 
 
+def _whole_bound(pieces: DataFrame, capacity: int) -> int:
+    """The bound of all lengths; one count a length reaches the driver."""
+    counted = np.array(pieces.groupBy("length").count().collect(), np.int64).reshape(-1, 2)
+    return lower_bound(counted[:, 0], capacity, counted[:, 1])
+
+
 def certificate(packed: DataFrame, capacity: int = 1024) -> DataFrame:
-    """One row: bins used, and the bound that no packing of these lengths can beat (here by their sum)."""
-    return packed.agg(F.countDistinct("sequence_id").alias("bins"), F.ceil(F.sum("length") / capacity).alias("bound"))
+    """One row: bins used, and the bound that dual feasible functions prove for any packing of these lengths."""
+    bins = packed.select("sequence_id").distinct().count()
+    return packed.sparkSession.createDataFrame([(bins, _whole_bound(packed, capacity))], "bins long, bound long")
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
@@ -210,25 +217,31 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     n = rows.count()
     if not n:
         return rows.drop("_row").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    groups, turn, most = -(-n // GROUP_ROWS), 0, n
+    groups, turn, most, gaps = -(-n // GROUP_ROWS), 0, n, True
     parts = [_pack(rows, groups, turn, capacity)]
-    while groups > 1 or turn:
-        fills = _union(parts).where(F.col("_fill") < capacity).groupBy("_fill").agg(F.count("*").alias("rows"), F.count_if(F.col("offset") == 0).alias("bins")).orderBy("_fill").collect()
-        taken = [0, 0, 0]  # rows, bins and tokens of the emptiest bins, `most` rows or one fill at least
+    bins, bound = parts[0].where("offset = 0").count(), _whole_bound(rows, capacity)
+    while bins > bound and groups > 1:
+        chosen = (F.col("_fill") < capacity) & (F.col("_bins") > F.col("_bound") if gaps else F.lit(True))
+        fills = _union(parts).where(chosen).groupBy("_fill").agg(F.count("*").alias("rows"), F.count_if(F.col("offset") == 0).alias("bins")).orderBy("_fill").collect()
+        taken, limit = [0, 0, 0], 0  # rows, bins and tokens of the emptiest bins, `most` rows or one fill at least
         for fill, k, b in fills:
             if taken[0] and taken[0] + k > most:
                 break
             taken, limit = [taken[0] + k, taken[1] + b, taken[2] + fill * b], fill + 1
-        if taken[1] <= -(-taken[2] // capacity):
-            break
-        chosen, turn = F.col("_fill") < limit, turn + 1
-        again = _pack(_union(parts).where(chosen), -(-taken[0] // GROUP_ROWS), turn, capacity)
-        if again.where("offset = 0").count() < taken[1]:
-            parts = [*[p.where(~chosen) for p in parts], again]
-        elif most <= GROUP_ROWS:
-            break
-        else:
+        hopeless = taken[1] <= -(-taken[2] // capacity)
+        saved = 0
+        if not hopeless:
+            chosen, turn = chosen & (F.col("_fill") < limit), turn + 1
+            again = _pack(_union(parts).where(chosen), -(-taken[0] // GROUP_ROWS), turn, capacity)
+            saved = taken[1] - again.where("offset = 0").count()
+        if saved > 0:
+            parts, bins = [*[p.where(~chosen) for p in parts], again], bins - saved
+        elif not hopeless and most > GROUP_ROWS:
             most = max(min(most, taken[0]) // 4, GROUP_ROWS)
+        elif gaps:
+            gaps, most = False, n
+        else:
+            break
     return _union(parts).select(*[F.col(f"`{c}`") for c in names], "sequence_id", "offset")
 
 

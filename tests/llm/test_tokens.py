@@ -88,6 +88,15 @@ def test_no_group_grows_beyond_its_size(spark, monkeypatch):
     assert max(sizes) <= 2 * 50
 
 
+def test_proven_groups_are_left_alone(spark, monkeypatch):
+    """Pieces of more than half a sequence: the sum of lengths proves half of the bins, dual feasible functions prove all."""
+    monkeypatch.setattr(packing, "GROUP_ROWS", 50)
+    turns, pack = [], packing._pack
+    monkeypatch.setattr(packing, "_pack", lambda rows, groups, turn, capacity: turns.append(turn) or pack(rows, groups, turn, capacity))
+    packed = packing.pack(spark.createDataFrame([(i, 0, 0, 520 + i % 300) for i in range(120)], "doc_id long, piece int, start long, length long"))
+    assert tuple(packing.certificate(packed).first()) == (120, 120) and turns == [0]
+
+
 def test_exact_fills_keep_the_capacity():
     rng = np.random.default_rng(4)
     for size in (1, 2, 7, 60, 500):
