@@ -1,11 +1,15 @@
 """Toxicity behind disguises: decode a noisy channel, then score the restored words.
 
 Language model: counts of neighbouring letters over all texts. Each slice of rows is counted in its
-task, Spark adds the tasks; 27 x 27 sums reach the driver.
+task, Spark adds the tasks; at most one sum a pair of Latin letters, accented ones included, reaches
+the driver.
 
-Channel: digits and signs stand for letters (`1d10t`), letters repeat (`looooser`), or stand apart
-(`m o r o n`). Such a string becomes a lattice of letters, and Viterbi picks the path that the model
-and the costs of the channel make likeliest. Letters that stand apart are joined first.
+Channel: digits and signs stand for letters (`1d10t`, `ki11`), letters repeat (`looooser`), or stand
+apart (`m o r o n`). Every string with a letter and a sign becomes a lattice of letters, and Viterbi
+picks the path that the model and the costs of the channel make likeliest; signs may stand for
+nothing, a final exclamation mark at no cost. Letters that stand apart, three or more, are joined
+first; as they may be several words, every stretch of them counts as a word whose breaks cost at
+most `BREAKS` against the likeliest breaks.
 
 Score: words and word beginnings are counted in toxic and other labelled rows; those tied to toxicity
 beyond chance carry the share of toxic rows among the rows that have them, put back to the true
@@ -39,31 +43,36 @@ _KEPT_WORDS = 200_000
 # What letters a sign may stand for.
 _SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 
-_CLASS = "a-z" + re.escape("".join(_SIGNS))
-_DISGUISED = re.compile(rf"(?<![{_CLASS}])[{_CLASS}]*[{re.escape(''.join(_SIGNS))}][a-z][{_CLASS}]*")
-_STRETCHED = re.compile(r"(?<![a-z])[a-z]*?([a-z])\1\1[a-z]*")
-_APART = re.compile(rf"(?<![\w@$])(?:[{_CLASS}][ ._*-]){{3,}}[{_CLASS}](?![\w@$])")
+_LETTERS = "".join(chr(c) for c in [*range(97, 123), *range(0xDF, 0x180)] if chr(c).islower())
+_INDEX = {x: i for i, x in enumerate(["", *_LETTERS])}
+BREAKS, _LONGEST = 3.0, 24
+
+_MARKS = re.escape("".join(_SIGNS))
+_CLASS = _LETTERS + _MARKS
+_DISGUISED = re.compile(rf"(?<![{_CLASS}])(?=[{_MARKS}]*[{_LETTERS}])(?=[{_LETTERS}]*[{_MARKS}])[{_CLASS}]+")
+_STRETCHED = re.compile(rf"(?<![{_LETTERS}])[{_LETTERS}]*?([{_LETTERS}])\1\1[{_LETTERS}]*")
+_APART = re.compile(rf"(?<![\w@$])(?:[{_CLASS}][ ._*-]){{2,}}[{_CLASS}](?![\w@$])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def letter_pairs(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Log chance of each letter (1 to 26; 0: anything else) after each, from all texts."""
+    """Log chance of each letter (1 and up, as in `_INDEX`; 0: anything else) after each, from all texts."""
+    size = len(_INDEX)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold = np.zeros(256, np.int16)
-        for i in range(26):
-            fold[65 + i] = fold[97 + i] = i + 1
-        total = np.zeros(27 * 27, np.int64)
+        fold = np.array([_INDEX.get(chr(c).lower(), 0) for c in range(0x181)], np.int32)
+        total = np.zeros(size * size, np.int64)
         for batch in small(batches):
             for t in batch.column(0):
-                codes = fold[np.frombuffer(f" {t.as_py() or ''} ".encode("utf-8", "replace"), np.uint8)]
-                total += np.bincount(codes[:-1] * 27 + codes[1:], minlength=27 * 27)
-        yield pa.RecordBatch.from_pydict({"pair": np.arange(27 * 27), "n": total})
+                codes = fold[np.minimum(np.frombuffer(f" {t.as_py() or ''} ".encode("utf-32-le", "replace"), np.uint32), 0x180)]
+                total += np.bincount(codes[:-1] * size + codes[1:], minlength=size * size)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"pair": seen, "n": total[seen]})
 
     rows = docs.select(F.col(text)).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect()
-    counts = np.ones((27, 27))
+    counts = np.full((size, size), 27 / size)
     for pair, n in rows:
-        counts[pair // 27, pair % 27] += n
+        counts[pair // size, pair % size] += n
     return np.log(counts / counts.sum(1, keepdims=True))
 
 
@@ -76,11 +85,15 @@ def restore(disguised: str, model: np.ndarray) -> str:
         while end < len(disguised) and disguised[end] == c:
             end += 1
         run = end - at
-        if c.isalpha():
+        if c in _INDEX:
             options = [(c, 0.0), (c + c, 1.0)] if run > 2 else [(c * run, 0.0), (c, 2.5)] if run == 2 else [(c, 0.0)]
         else:
-            options = [(x * min(run, 2), 0.5 * run) for x in _SIGNS[c]] + [("", 6.0)]
-            if run > 1:
+            options = [("", 0.0 if c == "!" and end == len(disguised) else 6.0 * min(run, 2))]
+            if run == 2:
+                options += [(x + y, 1.0 if x == y else 4.0) for x in _SIGNS[c] for y in _SIGNS[c]] + [(x, 6.0) for x in _SIGNS[c]]
+            else:
+                options += [(x * min(run, 2), 0.5 * run) for x in _SIGNS[c]]
+            if run > 2:
                 options += [(x, 1.0) for x in _SIGNS[c]]
         lattice.append(options)
         at = end
@@ -91,12 +104,29 @@ def restore(disguised: str, model: np.ndarray) -> str:
             for letters, cost in options:
                 s, prev = score - cost, last
                 for x in letters:
-                    s += model[ord(prev) - 96 if prev else 0, ord(x) - 96]
+                    s += model[_INDEX[prev], _INDEX[x]]
                     prev = x
                 if prev not in after or s > after[prev][0]:
                     after[prev] = (s, path + letters)
         best = after
-    return max((s + model[ord(x) - 96 if x else 0, 0], p) for x, (s, p) in best.items())[1]
+    return max((s + model[_INDEX[x], 0], p) for x, (s, p) in best.items())[1]
+
+
+def apart(letters: str, model: np.ndarray) -> set[str]:
+    """The words that letters without breaks may hold: the whole, and stretches whose breaks are likely enough."""
+    at = [_INDEX[x] for x in letters]
+    # what a break gains before each letter but the first
+    gain = [0.0, *[model[a, 0] + model[0, b] - model[a, b] for a, b in zip(at, at[1:])], 0.0]
+    out = {letters}
+    for i in range(len(letters)):
+        lost = max(0.0, -gain[i])
+        for j in range(i + 1, min(len(letters), i + _LONGEST) + 1):
+            if lost > BREAKS:
+                break
+            if lost + max(0.0, -gain[j]) <= BREAKS:
+                out.add(letters[i:j])
+            lost += max(0.0, gain[j])
+    return out
 
 
 def words_of(text: str | None, model: np.ndarray, known: dict[str, str]) -> set[str]:
@@ -105,8 +135,9 @@ def words_of(text: str | None, model: np.ndarray, known: dict[str, str]) -> set[
         return set()
     low = text.lower()
     words = set(_WORD.findall(low))
-    odd = {re.sub(r"[ ._*-]", "", m) for m in _APART.findall(low)}
-    odd.update(_DISGUISED.findall(low))
+    spaced = {re.sub(r"[ ._*-]", "", m) for m in _APART.findall(low)}
+    spaced = {x for x in spaced if any(c in _INDEX for c in x)}
+    odd = spaced | set(_DISGUISED.findall(low))
     odd.update(m[0] for m in _STRETCHED.finditer(low))
     for x in odd:
         if x not in known:
@@ -114,6 +145,8 @@ def words_of(text: str | None, model: np.ndarray, known: dict[str, str]) -> set[
                 known.clear()
             known[x] = restore(x, model)
         words.add(known[x])
+        if x in spaced:
+            words |= apart(known[x], model)
     words.discard("")
     return words
 

@@ -107,6 +107,29 @@ def test_restoring_disguised_words(spark):
     assert toxicity.words_of(None, model, known) == set() and toxicity.words_of("", model, known) == set()
 
 
+def test_restoring_final_signs_spaced_words_and_accents(spark):
+    line = "you are an idiot and i will kill or hate you so die in shit you ass der ist stüpid und blöd and that is wonderful "
+    model = toxicity.letter_pairs(cases.docs(spark, [(i, line * 5, None, None, None) for i in range(3)]))
+    known = {}
+    for text, want in (
+        ("ki11", "kill"),
+        ("we hat3 it", "hate"),
+        ("di3", "die"),
+        ("a$$", "ass"),
+        ("an id10+!", "idiot"),
+        ("sh1+", "shit"),
+        ("k1ll!!!", "kill"),
+        ("d i e", "die"),
+        ("y o u i d i o t", "idiot"),
+        ("wie stüp1d", "stüpid"),
+        ("DU 5TÜP1D", "stüpid"),
+        ("stüüüüpid", "stüpid"),
+    ):
+        got = toxicity.words_of(text, model, known)
+        assert want in got, (text, got)
+    assert toxicity.words_of("1 2 3 4 5", model, known) == set()
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rows = [(i, cases.prose(random.Random(i), 40) + (" utter scum" if i % 4 == 0 else ""), None, None, None) for i in range(600)]
     rows += [(1000, "5cum", None, None, None), (1001, None, None, None, None), (1002, "", None, None, None), (None, "scum", None, None, None)]
