@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackish.llm import bpe_table, embedding_dedup, language_id, ngram_join, packing, pii, quality_rules, secrets, substring_dedup, toxicity
+from brackish.llm import bpe_table, embedding_dedup, language_id, ngram_join, packing, periodic_runs, pii, quality_rules, secrets, substring_dedup, toxicity
 from brackish.llm.tables import settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_embedding_dedup")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.link(table(spark, folder, "embeddings"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return periodic_runs.digest(periodic_runs.find(periodic_runs.with_loops(docs)))
