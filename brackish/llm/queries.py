@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackish.llm import bpe_table, embedding_dedup, language_id, ngram_join, packing, periodic_runs, pii, quality_rules, secrets, substring_dedup, toxicity
+from brackish.llm import bpe_table, embedding_dedup, language_id, lexical_search, ngram_join, packing, periodic_runs, pii, quality_rules, secrets, substring_dedup, toxicity
 from brackish.llm.tables import settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return periodic_runs.digest(periodic_runs.find(periodic_runs.with_loops(docs)))
+
+
+@query("op11_lexical_search", lexical_search.SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(lexical_search.index(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
