@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackish.llm import bpe_table, embedding_dedup, language_id, lexical_search, ngram_join, packing, periodic_runs, pii, quality_rules, secrets, substring_dedup, toxicity
+from brackish.llm import bpe_table, embedding_dedup, language_id, lexical_search, ngram_join, packing, periodic_runs, pii, quality_rules, secrets, substring_dedup, toxicity, vector_search
 from brackish.llm.tables import settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,9 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_lexical_search", lexical_search.SQL)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.search(lexical_search.index(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
+
+
+@query("op12_vector_search")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return vector_search.search(vector_search.Index(vectors), vectors.where("vec_id % 20 = 0"))

@@ -6,9 +6,10 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
-from brackish.llm import lexical_search
+from brackish.llm import lexical_search, vector_search
 from brackish.llm.queries import ORACLES, QUERIES
 from tests.llm.cases import clashing, docs, empty, odd_rows, prose, sf
 
@@ -91,3 +92,103 @@ def test_search_query_against_sql(spark):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     want = sorted(con.execute(ORACLES["op11_lexical_search"]).fetchall(), key=str)
     assert plain(QUERIES["op11_lexical_search"](spark, FOLDER)) == want and len(want) > 100
+
+
+def vectors(n=3000, dims=64, seed=1, scale=None):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dims)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if scale is not None:
+        x *= rng.uniform(*scale, n).astype(np.float32)[:, None]
+    return x
+
+
+def nearest(rows, queries, k=20):
+    """(query, rank, id, score) in double precision over all rows."""
+    usable = [(i, np.asarray(v, np.float64)) for i, v in rows if i is not None and v is not None and None not in v]
+    usable = [(i, v) for i, v in usable if len(v) and np.isfinite(v).all() and (v != 0).any()]
+    asked = {}
+    for i, v in queries:
+        if any(i == j and np.array_equal(v, w) for j, w in usable):
+            asked[i] = min(asked.get(i, tuple(v)), tuple(v))
+    out = []
+    for i, q in asked.items():
+        best = {}
+        for j, v in usable:
+            if j != i and len(v) == len(q):
+                best[j] = max(best.get(j, -np.inf), float((v * np.asarray(q, np.float64)).sum()))
+        out += [(i, rank, j, s) for rank, (s, j) in enumerate(sorted(((s, j) for j, s in best.items()), key=lambda x: (-x[0], x[1]))[:k], 1)]
+    return sorted(out)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<float>")
+
+
+@pytest.mark.parametrize("dims,scale", [(64, None), (16, (0.2, 3.0)), (256, None), (6, (0.5, 1.5))])
+def test_recall_of_neighbours(spark, dims, scale):
+    x = vectors(3000, dims, scale=scale)
+    table = frame(spark, enumerate(x))
+    got = vector_search.search(vector_search.Index(table, sample=1000), table.where("vec_id % 60 = 0")).collect()
+    want = {}
+    for i in range(0, 3000, 60):
+        s = x.astype(float) @ x[i].astype(float)
+        s[i] = -np.inf
+        want[i] = set(np.argsort(-s)[:20].tolist())
+    found = {i: {r.vec_id for r in got if r.query_id == i} for i in want}
+    assert all(len(v) == 20 for v in found.values())
+    assert np.mean([len(found[i] & want[i]) / 20 for i in want]) >= 0.9
+    for r in got[:200]:
+        assert r.score == pytest.approx(float(x[r.query_id].astype(float) @ x[r.vec_id].astype(float)), abs=1e-12)
+
+
+def test_all_leaves_give_the_exact_answer(spark):
+    x = vectors(120, 5)
+    odd = [(500, None), (501, []), (502, [0.0] * 5), (503, [1.0, None, 0.0, 0.0, 0.0]), (504, [float("nan")] * 5), (505, [float("inf")] * 5), (None, x[0]), (506, [1.0, 2.0]), (507, [2.0, 1.0])]
+    copies = [(600 + i, x[3]) for i in range(50)] + [(20, x[7]), (20, x[8])]
+    rows = [*enumerate(x), *copies, *odd]
+    table = frame(spark, rows)
+    for block, spread in ((8192, 4), (16, 1)):
+        index = vector_search.Index(table, trees=3, depth=4, spread=spread)
+        got = vector_search.search(index, table.where("vec_id % 20 = 0 or vec_id in (506, 603)"), visits=1.0, block=block)
+        assert got.columns == ["query_id", "rank", "vec_id", "score"]
+        got = sorted(tuple(r) for r in got.collect())
+        want = nearest(rows, [(i, v) for i, v in rows if i is not None and (i % 20 == 0 or i in (506, 603))])
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+        assert np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-12)
+
+
+def test_queue_yields_leaves_best_first():
+    x = vectors(2000, 8).astype(float)
+    forest = vector_search.Forest(x, 8, 3, 5)
+    q = x[11]
+    sums = {}
+    for t, (turn, cuts) in enumerate(zip(forest.turns, forest.cuts)):
+        for leaf in range(32):
+            node, total = 0, 0.0
+            for level in range(5):
+                bit = leaf >> (4 - level) & 1
+                total += (1 if bit else -1) * (turn[level] @ q - cuts[level][node])
+                node = 2 * node + bit
+            sums[t * 32 + leaf] = total
+    order = forest.visit(q, 96).tolist()
+    assert sorted(order) == list(range(96))
+    assert np.allclose([sums[i] for i in order], sorted(sums.values(), reverse=True))
+    own = forest.leaves(q[None])[0]
+    assert all(t * 32 + leaf in order[:48] for t, leaf in enumerate(own))
+
+
+def test_nothing_to_search_and_clashing_names(spark):
+    none = frame(spark, [(1, None)]).where("vec_id > 1")
+    assert vector_search.search(vector_search.Index(none), none).count() == 0
+    x = vectors(60, 4)
+    table = frame(spark, enumerate(x)).selectExpr("*", "1 AS id", "2 AS v", "3 AS dims", "4 AS cell", "5 AS leaves", "6 AS score")
+    assert vector_search.search(vector_search.Index(table), table.where("vec_id = 5"), visits=1.0).count() == 20
+
+
+def test_vector_query(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(sf("embeddings")).collect()]
+    got = sorted(tuple(r) for r in QUERIES["op12_vector_search"](spark, FOLDER).collect())
+    want = nearest(rows, [r for r in rows if r[0] % 20 == 0])
+    assert len(got) == len(want)
+    assert len({r[:1] + r[2:3] for r in got} & {r[:1] + r[2:3] for r in want}) >= 0.9 * len(want)
