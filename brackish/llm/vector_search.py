@@ -229,7 +229,9 @@ def search(index: Index, queries: DataFrame, key: str = "vec_id", vector: str =
                 rows = rows.take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([dims] * len(at), pa.int32()), pa.array(cells, pa.int32()), pa.array(bits, pa.binary())], names=["id", "v", "dims", "cell", "visits"])
 
-    asked = _usable(queries, key, vector).groupBy("id").agg(F.min("v").alias("v"))
+    # a query costs more than its bytes tell: as many tasks as the session has partitions
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = _usable(queries, key, vector).repartition(tasks, "id").groupBy("id").agg(F.min("v").alias("v"))
     kind = asked.schema["v"].dataType.simpleString()
     asked = settle(asked.mapInArrow(route, f"id long, v {kind}, dims int, cell int, visits binary"))
 

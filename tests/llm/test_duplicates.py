@@ -150,3 +150,16 @@ def test_digest_of_the_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(cases.sf()).collect()]
     want = {(i, n, m, hashlib.sha256(k.encode()).hexdigest()) for i, n, m, k in brute_removal(rows, 50)}
     assert {tuple(r) for r in QUERIES["op2_substring_dedup"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_shared_keys_do_not_depend_on_how_they_are_dealt(spark):
+    common = " ".join(f"c{i}" for i in range(30))
+    rows = [(i, f"{common} {' '.join(f'w{i % 40}x{j}' for j in range(i % 25))}", None, None, None) for i in range(300)]
+    rows += cases.odd_rows()
+    texts = cases.docs(spark, rows).select("doc_id", "text").toDF("doc", "text").repartition(3, "text")
+    found = [Counter(tuple(r) for r in ngram_join._keys(texts, 5, total, held, often).collect()) for total, held, often in ((1, 1 << 20, 1 << 30), (50_000, 2000, 4), (50_000, 500, 2), (1, 1 << 20, 2))]
+    counts = Counter(k for k, _, _ in found[0].elements())
+    assert all(counts[k] == n > 1 for k, _, n in found[0])
+    assert max(counts.values()) >= 300
+    for other in found[1:]:
+        assert other == found[0]
