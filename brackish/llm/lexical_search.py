@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from brackish.llm.tables import settle, small
 
-K, BLOCK_BYTES, GROUP_BLOCKS, QUERIES = 10, 1 << 22, 2, 1024
+K, BLOCK_BYTES, GROUP_BLOCKS, QUERIES = 10, 1 << 20, 6, 1024
 #: Between terms: ASCII characters other than digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _FOLD = bytes(b if b >= 0x80 or chr(b) in string.ascii_letters + string.digits else 0x20 for b in range(256)).lower()
