@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 from brackish.llm.tables import components, settle, small
 from brackish.llm.words import Stretches, Words, mix, read_words
 
-SHINGLE, BITS, BLOCK = 5, 1024, 1024
+SHINGLE, BITS, BLOCK, HELD, OFTEN = 5, 1024, 1024, 1 << 20, 64
 _BANDS = 30
 _KEY = np.uint64(0xFFFFFFFFFFFFFFE0)
 
@@ -122,10 +122,34 @@ def _describe(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n long, x1 long, x2 long, keys_high int, keys_low int, bits array<long>")
 
 
-def _keys(docs: DataFrame, size: int) -> DataFrame:
-    """(key, doc) of every part of every row's sketches; the band is in the key's last five bits."""
+def _keys(docs: DataFrame, size: int, total: int, held: int = HELD, often: int = OFTEN) -> DataFrame:
+    """(key, doc, n_docs) of the parts of every row's sketches that another row has too; the band is in the key's last five bits.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Keys travel as arrays, dealt by their value into buckets of about `held`, and each bucket is sorted once. A key that `often` or more of
+    about `held` keys of a task are is counted there; its bucket gets the count alone, and its documents go to buckets of their own.
+    """
+    buckets = max(1, -(-total // held))
+
+    def rows_of(keys: np.ndarray, owners: np.ndarray) -> Iterator[pa.RecordBatch]:
+        some, counts = np.unique(keys, return_counts=True)
+        hot, marks = some[counts >= often], counts[counts >= often]
+        place = np.minimum(keys.astype(np.float64) / 2.0**64 * buckets, buckets - 1).astype(np.int64)
+        if len(hot):
+            own = np.isin(keys, hot)
+            place[own] = buckets + int(mix(owners.view(np.uint64)[:1])[0] % np.uint64(buckets))
+        hot_place = np.minimum(hot.astype(np.float64) / 2.0**64 * buckets, buckets - 1).astype(np.int64)
+        order = np.argsort(place.astype(np.uint32), kind="stable")
+        names = ["bucket", "keys", "docs", "hot", "marks"]
+        for at in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+            here = hot_place == place[at[0]]
+            values = [x.tobytes() for x in (keys[at], owners[at], hot[here], marks[here])]
+            yield pa.RecordBatch.from_arrays([pa.array([place[at[0]]], pa.int64()), *[pa.array([x], pa.binary()) for x in values]], names=names)
+        for bucket in np.setdiff1d(hot_place, place).tolist():
+            here = hot_place == bucket
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *[pa.array([x], pa.binary()) for x in (b"", b"", hot[here].tobytes(), marks[here].tobytes())]], names=names)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners, n_keys = [], [], 0
         for batch in small(batches):
             ids = batch.column(0).to_numpy()
             for w in read_words(batch.column(1), lower=True):
@@ -134,10 +158,41 @@ def _keys(docs: DataFrame, size: int) -> DataFrame:
                 rows = np.repeat(np.arange(w.n), n)
                 band, below = _bands(np.maximum(n, 1))
                 for b in (np.where(n > 0, band, -1), np.where(below & (n > 0), band - 1, -1)):
-                    keys, owners, _ = _sketch(hashes, rows, n, b)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[owners + w.first])], names=["key", "doc"])
-
-    return docs.where("doc is not null").mapInArrow(run, "key long, doc long")
+                    k, owner, _ = _sketch(hashes, rows, n, b)
+                    keys.append(k)
+                    owners.append(ids[owner + w.first])
+                    n_keys += len(k)
+                if n_keys >= held:
+                    yield from rows_of(np.concatenate(keys), np.concatenate(owners))
+                    keys, owners, n_keys = [], [], 0
+        if n_keys:
+            yield from rows_of(np.concatenate(keys), np.concatenate(owners))
+
+    def meet(t: pa.Table) -> pa.Table:
+        keys, docs, hot, marks = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("docs", np.int64), ("hot", np.uint64), ("marks", np.int64)))
+        if t.column("bucket")[0].as_py() >= buckets:  # frequent keys; their counts are elsewhere
+            return pa.table({"key": keys.view(np.int64), "doc": docs, "n_docs": pa.nulls(len(keys), pa.int64())})
+        order = np.argsort(keys)
+        keys, docs = keys[order], docs[order]
+        some, first, counts = np.unique(keys, return_index=True, return_counts=True)
+        kinds, at = np.unique(hot, return_inverse=True)
+        sums = np.bincount(at, marks, len(kinds)).astype(np.int64)
+        both = np.isin(some, kinds, assume_unique=True)
+        totals = counts + np.where(both, sums[np.minimum(np.searchsorted(kinds, some), max(len(kinds) - 1, 0))] if len(kinds) else 0, 0)
+        alone = np.isin(kinds, some, assume_unique=True, invert=True)
+        shared = np.repeat(totals > 1, counts)
+        out = {"key": keys[shared], "doc": docs[shared], "n_docs": np.repeat(totals, counts)[shared]}
+        # one row without a document tells the count of a frequent key
+        tell = np.append(some[both], kinds[alone]), np.append(totals[both], sums[alone])
+        key, n = np.append(out["key"], tell[0]), np.append(out["n_docs"], tell[1])
+        doc = pa.concat_arrays([pa.array(out["doc"], pa.int64()), pa.nulls(len(tell[0]), pa.int64())])
+        return pa.table({"key": key.view(np.int64), "doc": doc, "n_docs": n})
+
+    dealt = docs.where("doc is not null").mapInArrow(deal, "bucket long, keys binary, docs binary, hot binary, marks binary")
+    met = settle(dealt.groupBy("bucket").applyInArrow(meet, "key long, doc long, n_docs long"))
+    counts = met.where("doc is null").select("key", "n_docs")
+    often = met.where("n_docs is null").select("key", "doc").join(counts, "key")
+    return met.where("doc is not null and n_docs is not null").unionByName(often)
 
 
 def _shingles(docs: DataFrame, size: int) -> DataFrame:
@@ -225,16 +280,12 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     reps = real.groupBy("n", "x1", "x2").agg(F.min(F.struct("doc", "keys_high", "keys_low", "bits")).alias("r"), F.count_distinct("doc").alias("copies"))
     reps = settle(reps.select("n", "x1", "x2", "r.*", "copies"))
 
-    shared = settle(_keys(rows, size).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    parts = settle(_keys(rows, size).join(shared, "key"))
-    parts = settle(parts.join(reps.select("doc"), "doc", "left_semi").distinct())
-    often = parts.groupBy("key").agg(F.count("*").alias("n_docs")).where("n_docs > 1")
-    parts = settle(parts.join(often, "key"))
-
     # the rarest n / 3 + 1 parts of each sketch, of which those that no other set has need no row
+    total = members.agg(F.sum(F.col("keys_high").cast("long") + F.col("keys_low"))).first()[0] or 0
     band = F.col("key").bitwiseAND(F.lit(31))
-    own = parts.select("doc", "key", "n_docs", band.alias("band"))
     sizes = reps.select("doc", "n", "keys_high", "keys_low").withColumn("high", F.floor(F.log(F.col("n") + 0.5) / F.log(F.lit(3.0))))
+    own = _keys(rows, size, total).join(reps.select("doc"), "doc", "left_semi").repartition("doc")
+    own = own.groupBy("doc", "key").agg(F.max("n_docs").alias("n_docs")).withColumn("band", band)
     sketch = Window.partitionBy("doc", "band")
     own = own.withColumns({"met": F.count("*").over(sketch), "rank": F.row_number().over(sketch.orderBy("n_docs", "key"))}).join(sizes, "doc")
     keys = F.when(F.col("band") == F.col("high"), F.col("keys_high")).otherwise(F.col("keys_low"))
