@@ -160,6 +160,6 @@ def test_shared_keys_do_not_depend_on_how_they_are_dealt(spark):
     found = [Counter(tuple(r) for r in ngram_join._keys(texts, 5, total, held, often).collect()) for total, held, often in ((1, 1 << 20, 1 << 30), (50_000, 2000, 4), (50_000, 500, 2), (1, 1 << 20, 2))]
     counts = Counter(k for k, _, _ in found[0].elements())
     assert all(counts[k] == n > 1 for k, _, n in found[0])
-    assert max(counts.values()) >= 300
+    assert max(counts.values()) >= 200
     for other in found[1:]:
         assert other == found[0]
