@@ -7,19 +7,18 @@ import json
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brackish.functions.energy import clip
 from brackish.operators import evaluate, linear, series
 from brackish.operators.blocks import day_slot
 from brackish.operators.evaluate import Scheme
+from brackish.operators.neighbours import PIECE, nearest
+from brackish.operators.trees import Folds
 from brackish.session import settle
 
 Predictor = Callable[[DataFrame], DataFrame]
@@ -73,63 +72,52 @@ def huber(epsilon: float = 1.35) -> Fitter:
     return ml_fitter(LinearRegression(loss="huber", epsilon=epsilon, standardization=True))
 
 
-def knn(k: int = 10, weights: str = "distance", block_rows: int = 20_000) -> Fitter:
-    """Exact nearest neighbours on standardised features.
+def knn(k: int = 10, weights: str = "distance", block_rows: int = PIECE) -> Fitter:
+    """Exact nearest neighbours on features standardised over the training rows (`neighbours.nearest`).
 
-    Training rows and test rows are dealt into blocks of about `block_rows`, and every test block meets every
-    training block in a task of its own; a test row keeps its `k` best of each block and the best of those in
-    the end. No rows reach the driver, memory is bounded by two blocks, and nothing is left out. Of equally
-    near rows the smaller targets count.
+    Cells of more than `block_rows` training rows are read in pieces.
     """
 
     def fit(train: DataFrame, features: Sequence[str], target: str) -> Predictor:
         features = list(features)
-        rows = train.dropna(subset=[*features, target]).select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y"))
-        rows = settle(rows.withColumn("_at", F.monotonically_increasing_id()))
-        stats = rows.agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.avg(f).alias(f"m_{f}") for f in features],
-            *[F.stddev_pop(f).alias(f"s_{f}") for f in features],
-        ).first()
-        blocks = max(1, -(-stats["n"] // block_rows))
-        scaled = [((F.col(f) - F.lit(stats[f"m_{f}"])) / F.lit(stats[f"s_{f}"] or 1.0)).alias(f) for f in features]
-        known = rows.select(*scaled, "_y", F.pmod(F.xxhash64("_at"), F.lit(blocks)).alias("_block"))
-
-        def nearest(test: pa.Table, known: pa.Table) -> pa.Table:
-            ids = test.column("_row")
-            if not len(ids) or not known.num_rows:
-                return pa.table({"_row": pa.array([], pa.int64()), "_near": pa.array([], _NEAR_ARROW)})
-            x, q = (np.stack([t.column(f).to_numpy() for f in features], axis=1) for t in (known, test))
-            y, norm, take = known.column("_y").to_numpy(), (x**2).sum(axis=1), min(k, known.num_rows)
-            found = []
-            for start in range(0, len(q), 256):
-                part = q[start : start + 256]
-                d2 = norm - 2 * part @ x.T
-                edge = np.partition(d2, take - 1, axis=1)[:, take - 1]
-                for row, far, point in zip(d2, edge, part):
-                    near = np.flatnonzero(row <= far + 1e-9 * (1 + abs(far)))
-                    dist = np.sqrt(((x[near] - point) ** 2).sum(axis=1))
-                    best = np.lexsort((y[near], dist))[:take]
-                    found.append([{"d": float(a), "y": float(b)} for a, b in zip(dist[best], y[near][best])])
-            return pa.table({"_row": ids, "_near": pa.array(found, _NEAR_ARROW)})
+        rows = train.dropna(subset=[*features, target])
+        scaled = _scaled(rows, features)
+        known = rows.select(*scaled, F.col(target).cast("double").alias("_y"), F.lit(0).alias("_scope"), F.lit(0).alias("_fold"))
 
         def predict(df: DataFrame) -> DataFrame:
             numbered = settle(df.dropna(subset=features).withColumn("_row", F.monotonically_increasing_id()))
-            tiles = max(1, -(-numbered.count() // block_rows))
-            test = numbered.select("_row", *scaled, F.pmod(F.xxhash64("_row"), F.lit(tiles)).alias("_tile"))
-            test = test.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-            each = known.withColumn("_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
-            met = test.groupBy("_block", "_tile").cogroup(each.groupBy("_block", "_tile")).applyInArrow(nearest, T.StructType([T.StructField("_row", T.LongType()), T.StructField("_near", _NEAR)]))
-            best = met.groupBy("_row").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_near"))), 1, k).alias("_near"))
-            return numbered.join(best, "_row").select(*df.columns, _neighbour_mean(weights).alias("pred"))
+            near = nearest(known, numbered.select("_row", *scaled, F.lit(0).alias("_scope"), F.lit(1).alias("_fold")), features, k, piece=block_rows)
+            return numbered.join(near, "_row").select(*df.columns, _neighbour_mean(weights).alias("pred"))
 
         return predict
 
     return fit
 
 
-_NEAR_ARROW = pa.list_(pa.struct([("d", pa.float64()), ("y", pa.float64())]))
-_NEAR = T.ArrayType(T.StructType([T.StructField("d", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+def _scaled(rows: DataFrame, features: Sequence[str]) -> list[Column]:
+    stats = rows.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
+    return [((F.col(f).cast("double") - F.lit(stats[f"m_{f}"])) / F.lit(stats[f"s_{f}"] or 1.0)).alias(f) for f in features]
+
+
+def cross_validate_knn(df: DataFrame, features: Sequence[str], target: str, schemes: Sequence[Scheme], k: int = 10, weights: str = "distance", name: str = "knn") -> DataFrame:
+    """Held-out predictions of nearest neighbours under every scheme, one search a scheme.
+
+    Features are standardised once, over all rows, so that the folds of a scheme share their cells; only the
+    rows that train a fold are neighbours of its rows.
+    """
+    rows = df.dropna(subset=[*features, target])
+    folds = Folds(rows, schemes)
+    scaled = _scaled(rows, features)
+    rows = settle(folds.number(rows).withColumn("_row", F.monotonically_increasing_id()))
+    out = []
+    for s, scheme in enumerate(schemes):
+        own = F.col("_folds")[s]
+        fits = F.array(*[F.lit(bool(x)) for x in folds.fits])
+        scopes = F.array(*[F.lit(int(x)) for _, x in folds.scope])
+        keyed = rows.select("_row", *scaled, F.col(target).cast("double").alias("_y"), own.cast("int").alias("_fold"), F.get(scopes, own).alias("_scope"), F.get(fits, own).alias("_fits"))
+        near = nearest(keyed, keyed.where("_fits"), features, k)
+        out.append(rows.join(near, "_row").select(*df.columns, _neighbour_mean(weights).alias("pred")).withColumns({"model": F.lit(name), "scheme": F.lit(scheme.name)}))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _neighbour_mean(weights: str) -> Column:
