@@ -14,6 +14,7 @@ hour number, ...), and windows run over blocks of slots:
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -235,50 +236,49 @@ def group_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per key, without gathering a key.
 
-    A mergeable sketch proposes cut points for each key; equal values are counted before the
-    shuffle, the counts of the stretches between cut points tell which stretches hold the wanted ranks,
-    and only the values in those are ranked. The cut points only balance the work: ranks are
-    exact wherever they lie, also for one repeated value or an infinite one. NaN counts as missing.
-    Nothing runs while the plan is built.
+    A mergeable sketch proposes a few cut points for each key around every wanted rank; equal values are counted
+    before the shuffle, and the counts of the stretches between cut points tell which stretches hold the wanted
+    ranks. Only the values in those are ranked. The cut points only balance the work: ranks are exact wherever they lie, also
+    for one repeated value or an infinite one. NaN counts as missing. The stretch of a value is its place among at most
+    five cut points for each quantile, compared one by one in compiled code. Nothing runs while the plan is built.
     """
     if not keys:
         whole = df.withColumn("_whole", F.lit(1))
         return group_quantiles(whole, ["_whole"], col, probs, parts).drop("_whole")
     keys = list(keys)
     rows = df.select(*keys, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    steps = [i / parts for i in range(1, parts)]
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", steps, 4 * parts).alias("_cuts"), F.count("_v").alias("_n"))
+    # cut points just below and above every wanted rank: a stretch that holds one is about 1/parts of the key's rows
+    steps = sorted({min(max(p + d / parts, 0.0), 1.0) for p in probs.values() for d in (-0.5, 0.5)})
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", steps, 8 * parts).alias("_cuts"), F.count("_v").alias("_n"))
 
     def at(p: float) -> Column:
         return F.lit(p) * (F.col("_n") - 1)
 
-    cuts = cuts.withColumns(
-        {
-            "_cuts": F.array_distinct("_cuts"),
-            "_ranks": F.array_distinct(F.array(*[end(at(p)) for p in probs.values() for end in (F.floor, F.ceil)])),
-        }
-    )
+    wanted = [end(at(p)).cast("long") for p in probs.values() for end in (F.floor, F.ceil)]
     counted = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    stretch = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    placed = counted.join(cuts, keys).select(*keys, "_v", "_c", "_n", "_ranks", stretch.alias("_part"))
-    sums = placed.groupBy(*keys, "_part").agg(F.sum("_c").alias("_m"), F.first("_ranks").alias("_wanted"))
+    points = [F.col("_cuts")[i].alias(f"_p{i}") for i in range(len(steps))]
+    place = reduce(lambda a, b: a + b, [F.when(F.col(f"_p{i}") < F.col("_v"), 1).otherwise(0) for i in range(len(steps))])
+    placed = counted.join(cuts.select(*keys, "_n", *points), keys).select(*keys, "_v", "_c", "_n", place.alias("_part"))
+    sums = placed.groupBy(*keys, "_part").agg(F.sum("_c").alias("_m"), F.first("_n").alias("_n"))
     below = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_m").over(below), F.lit(0)))
-    holds = F.exists("_wanted", lambda x: (x >= F.col("_before")) & (x < F.col("_before") + F.col("_m")))
+    holds = reduce(lambda a, b: a | b, [(w >= F.col("_before")) & (w < F.col("_before") + F.col("_m")) for w in wanted])
     near = placed.join(sums.where(holds).select(*keys, "_part", "_before"), [*keys, "_part"])
     upto = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     near = near.withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
-    mine = F.filter("_ranks", lambda x: (x >= F.col("_end") - F.col("_c")) & (x < F.col("_end")))
-    ranked = near.select(*keys, "_n", F.explode(mine).alias("_rank"), "_v")
+
+    def mine(rank: Column) -> Column:
+        return (rank >= F.col("_end") - F.col("_c")) & (rank < F.col("_end"))
+
     ends = []
     for name, p in probs.items():
         ends += [
-            F.max(F.when(F.col("_rank") == end(at(p)), F.col("_v"))).alias(f"_{tag}_{name}")
+            F.max(F.when(mine(end(at(p)).cast("long")), F.col("_v"))).alias(f"_{tag}_{name}")
             for tag, end in (("lo", F.floor), ("hi", F.ceil))
         ]
         ends.append(F.max(at(p) - F.floor(at(p))).alias(f"_f_{name}"))
     return (
-        ranked.groupBy(*keys)
+        near.groupBy(*keys)
         .agg(*ends)
         .select(
             *keys,

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime
 import json
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brackish.functions.energy import clip
-from brackish.operators import evaluate, linear, series
+from brackish.operators import evaluate, linear, series, trees
 from brackish.operators.blocks import day_slot
 from brackish.operators.evaluate import Scheme
 from brackish.operators.neighbours import PIECE, nearest
@@ -31,6 +33,7 @@ FAMILIES = {
     "pls": "linear",
     "huber": "linear",
     "knn": "instance",
+    "extra": "tree ensemble",
     "forest": "tree ensemble",
     "boosted": "tree ensemble",
 }
@@ -55,7 +58,7 @@ def ml_fitter(estimator, weight: str | None = None) -> Fitter:
 
 
 def forest(trees: int = 100, depth: int = 12, seed: int = 0, subset: str = "0.5", weight: str | None = None) -> Fitter:
-    """Random forest: also the stand-in for extremely randomised trees, which Spark ML lacks."""
+    """Random forest of Spark ML, one fit a fold; `trees.forest` grows those of all folds together."""
     return ml_fitter(
         RandomForestRegressor(
             numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy=subset, seed=seed
@@ -280,6 +283,124 @@ def rank_models(scores: DataFrame, scheme: str = "leave_site") -> DataFrame:
     return wide.orderBy(F.desc_nulls_last(scheme), "model")
 
 
+def selection_table(
+    df: DataFrame,
+    feature_sets: dict[str, Sequence[str]],
+    target: str,
+    schemes: Sequence[Scheme],
+    linear_models: Sequence[linear.LinearModel] = (),
+    tree_models: Sequence[trees.TreeModel] = (),
+    neighbours: Sequence[int] = (),
+) -> DataFrame:
+    """R2, RMSE, MAE and bias of every model on every feature set under every scheme; settled.
+
+    Linear models share two passes a scheme, all trees of all folds grow together, neighbours take one search a
+    scheme: the number of jobs does not follow the number of folds. All sets are scored on the same rows.
+    """
+    every = list(dict.fromkeys(f for s in feature_sets.values() for f in s))
+    rows = settle(df.dropna(subset=[*every, target]))
+    family = {m.name: FAMILIES[m.kind] for m in linear_models} | {m.name: FAMILIES[m.kind] for m in tree_models} | {f"knn{k}": FAMILIES["knn"] for k in neighbours}
+    out = []
+    for label, features in feature_sets.items():
+        parts = []
+        if linear_models:
+            own = [dataclasses.replace(m, features=tuple(features)) for m in linear_models]
+            parts += [linear.cross_validate(rows, features, target, scheme, own) for scheme in schemes]
+        if tree_models:
+            parts.append(trees.cross_validate(rows, features, target, schemes, tree_models))
+        parts += [cross_validate_knn(rows, features, target, schemes, k, name=f"knn{k}") for k in neighbours]
+        for oof in parts:
+            scored = evaluate.metrics(oof, ["model", "scheme"], y=target)
+            out.append(scored.withColumns({"feature_set": F.lit(label), "n_features": F.lit(len(features))}))
+    named = F.create_map(*[F.lit(x) for pair in family.items() for x in pair])
+    return settle(reduce(DataFrame.unionByName, out).withColumn("family", named[F.col("model")]))
+
+
+def rank_selection(scores: DataFrame, schemes: Sequence[str], headline: str = "leave_site") -> DataFrame:
+    """One row per model and feature set: R2 and MAE under every scheme, best R2 under `headline` first within a set."""
+    wide = scores.groupBy("feature_set", "n_features", "model", "family").pivot("scheme", list(schemes)).agg(F.first("r2").alias("r2"), F.first("mae").alias("mae"))
+    place = Window.partitionBy("feature_set").orderBy(F.desc_nulls_last(f"{headline}_r2"), "model")
+    return wide.withColumn("place", F.row_number().over(place))
+
+
+def refit(df: DataFrame, features: Sequence[str], target: str, model: linear.LinearModel | trees.TreeModel | int) -> tuple[Predictor, dict]:
+    """A model fitted on all rows, as a predictor and as plain numbers that `restore` reads."""
+    features = list(features)
+    rows = df.dropna(subset=[*features, target])
+    if isinstance(model, trees.TreeModel):
+        state = trees.fit(rows, features, target, model)
+        record = {
+            "kind": "trees",
+            "model": dataclasses.asdict(model),
+            "feature": state.feature[0].tolist(),
+            "cut": state.cut[0].tolist(),
+            "value": state.value[0].tolist(),
+        }
+    elif isinstance(model, linear.LinearModel):
+        own = dataclasses.replace(model, features=tuple(features))
+        fits, _ = linear.fit_by_key(rows, features, target, [], [own])
+        row = fits.first()
+        record = {"kind": "linear", "beta": list(row["beta"]), "intercept": row["intercept"]}
+    else:
+        return knn(model)(rows, features, target), {"kind": "knn", "k": model}
+    return restore(record, features), record
+
+
+def restore(record: dict, features: Sequence[str]) -> Predictor:
+    """The predictor of a record that `refit` made; neighbours have none, they are their rows."""
+    features = list(features)
+    if record["kind"] == "linear":
+        total = F.lit(record["intercept"])
+        for b, f in zip(record["beta"], features):
+            total = total + F.lit(b) * F.col(f)
+        return lambda df: df.dropna(subset=features).withColumn("pred", total)
+    model = trees.TreeModel(**record["model"])
+    arrays = [np.array(record[c])[None] for c in ("feature", "cut", "value")]
+    state = trees.Trees(model, tuple(features), [], *arrays, np.zeros((1, len(features))))
+    return lambda df: trees.predict(df.dropna(subset=features), [("pred", state, 0)], features)
+
+
+def select_model(
+    df: DataFrame,
+    feature_sets: dict[str, Sequence[str]],
+    target: str,
+    schemes: Sequence[Scheme],
+    linear_models: Sequence[linear.LinearModel],
+    tree_models: Sequence[trees.TreeModel],
+    neighbours: Sequence[int] = (),
+    path: str | None = None,
+    headline: str = "leave_site",
+    group: str = "site",
+) -> tuple[DataFrame, dict, Predictor]:
+    """The whole selection: (ranking, metadata of the winner, predictor fitted on all rows).
+
+    The winner is best under `headline` on the last feature set. With a `path`, the fitted numbers and the metadata
+    (model, features, rows, groups, scores) are saved there as JSON lines; `load_selection` reads them.
+    """
+    names = [s.name for s in schemes]
+    ranking = settle(rank_selection(selection_table(df, feature_sets, target, schemes, linear_models, tree_models, neighbours), names, headline))
+    label, features = list(feature_sets.items())[-1]
+    best = ranking.where((F.col("feature_set") == label) & (F.col("place") == 1)).first()
+    models = {m.name: m for m in [*linear_models, *tree_models]} | {f"knn{k}": k for k in neighbours}
+    complete = df.dropna(subset=[*dict.fromkeys(f for s in feature_sets.values() for f in s), target])
+    predict, record = refit(complete, features, target, models[best["model"]])
+    counts = complete.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(group).alias("groups")).first()
+    meta = {"model": best["model"], "features": list(features), "n_train": counts["n"], f"n_{group}": counts["groups"]}
+    meta |= {f"{n}_{m}": best[f"{n}_{m}"] for n in names for m in ("r2", "mae")}
+    if path:
+        lines = [(json.dumps({"meta": meta}),), (json.dumps({"record": record}),)]
+        df.sparkSession.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(path)
+    return ranking, meta, predict
+
+
+def load_selection(spark: SparkSession, path: str) -> tuple[dict, Predictor]:
+    """Metadata and predictor of a saved selection."""
+    found: dict = {}
+    for row in spark.read.text(path, wholetext=False).collect():
+        found |= json.loads(row["value"])
+    return found["meta"], restore(found["record"], found["meta"]["features"])
+
+
 def save_model(predict: Predictor, path: str, meta: dict) -> None:
     """A fitted Spark ML pipeline with its metadata (features, scores, row counts) as JSON beside it."""
     model: PipelineModel = predict.model

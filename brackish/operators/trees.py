@@ -327,7 +327,7 @@ def _level(rows: DataFrame, state: Trees, folds: Folds, trees: range, level: int
 def _edges(rows: DataFrame, features: Sequence[str], bins: int) -> list[np.ndarray]:
     """Quantiles of each feature as bin edges, without the greatest value."""
     steps = [i / bins for i in range(1, bins)]
-    found = rows.agg(*[F.percentile_approx(f, steps, 20 * bins).alias(f) for f in features], *[F.max(f).alias(f"_m{i}") for i, f in enumerate(features)]).first()
+    found = rows.agg(*[F.percentile_approx(f, steps, max(10_000, 20 * bins)).alias(f) for f in features], *[F.max(f).alias(f"_m{i}") for i, f in enumerate(features)]).first()
     return [np.unique([v for v in found[f] or [] if v < found[f"_m{i}"]]).astype(float) for i, f in enumerate(features)]
 
 
@@ -386,6 +386,8 @@ def prepare(df: DataFrame, features: Sequence[str], target: str, folds: Folds, w
     others = [c for c in df.columns if c not in features]
     rows = folds.number(df.select(*others, *numbers).dropna(subset=[*features, target]))
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    # a row costs far more than its bytes tell: dealt over as many tasks as the session has partitions
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return settle(rows.withColumns({"_y": F.col(target).cast("double"), "_w": w, "_h": F.xxhash64(*features, target)}))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from brackish.functions.energy import clip
-from brackish.operators import energy_supply, evaluate, features, linear, models
+from brackish.operators import energy_supply, evaluate, features, linear, models, trees
 from brackish.operators.linear import LinearModel
 from brackish.plans.registry import query, r, rsql
 
@@ -281,22 +281,15 @@ def _(v):
     return features.compare_feature_sets(df, sets, "y", [kfold, evaluate.leave_year(), evaluate.leave_site()])
 
 
-def monthly_ids(v):
-    return v.monthly.withColumn("id", F.unix_date("month"))
-
-
 @query("f7_permutation_importance")
 def _(v):
-    rows = monthly_ids(v)
-    train = rows.where("site < 'P5'")
-    predict = models.forest(trees=10, depth=5)(train, X, "y")
-    return features.permutation_importance(rows.where("site >= 'P5'"), ["id"], X, "y", predict, repeats=8)
+    ids = ["l_orderkey", "l_linenumber"]
+    return features.permutation_importance_folds(v.samples, ids, X, "y", evaluate.leave_site(), trees.extra(trees=10, depth=5), repeats=5)
 
 
 @query("f8_impurity_importance")
 def _(v):
-    predict = models.forest(trees=20, depth=6)(v.monthly, X, "y")
-    return features.impurity_importance(v.spark, predict.model.stages[-1], X)
+    return features.saved_by_splits(v.spark, trees.fit(v.samples, X, "y", trees.extra(trees=20, depth=6)))
 
 
 # -- models --------------------------------------------------------------------------
@@ -446,19 +439,42 @@ def _(v):
 
 @query("l13_forest_grid")
 def _(v):
-    rows = v.monthly.withColumn("era", F.when(F.col("year") < 1998, "early").otherwise("late"))
-    scheme = evaluate.Scheme("leave_era", ("era",))
-    return models.grid_search(rows, X, "y", scheme, {f"depth {d}": models.forest(trees=10, depth=d) for d in (3, 5)})
+    grid = [trees.forest(f"depth {d}", trees=10, depth=d) for d in (3, 5)]
+    oof = trees.cross_validate(v.samples, X, "y", [evaluate.leave_site()], grid)
+    return evaluate.metrics(oof, ["model"]).orderBy(F.desc("r2"), "model")
+
+
+def three_schemes(v):
+    rows, kfold = evaluate.kfold(v.samples, row_ids(), 10)
+    return rows, [kfold, evaluate.leave_year(), evaluate.leave_site()]
+
+
+@query("l7_l8_l9_trees_three_schemes")
+def _(v):
+    rows, schemes = three_schemes(v)
+    zoo = [trees.extra(trees=10, depth=6), trees.forest(trees=10, depth=5), trees.boosted(rounds=10, rate=0.3)]
+    return evaluate.metrics(trees.cross_validate(rows, X, "y", schemes, zoo), ["model", "scheme"])
+
+
+@query("l6_knn_three_schemes")
+def _(v):
+    rows, schemes = three_schemes(v)
+    return evaluate.metrics(models.cross_validate_knn(rows, X, "y", schemes, 10), ["model", "scheme"])
+
+
+def selection(v, path=None):
+    """The zoo on all features and on those that inflation leaves, under the three schemes."""
+    rows, schemes = three_schemes(v)
+    every = [*X, "x5"]
+    kept, _ = features.vif_elimination(features.moments(rows, every, "y"), 10.0)
+    linear_zoo = [LinearModel("ridge", (), "ridge", 10.0), LinearModel("elastic", (), "elastic", 0.05, 0.3), LinearModel("pls", (), "pls", components=2)]
+    tree_zoo = [trees.extra(trees=5, depth=5), trees.boosted(rounds=5, rate=0.5)]
+    return models.select_model(rows, {"full": every, "pruned": kept}, "y", schemes, linear_zoo, tree_zoo, [10], path)
 
 
 @query("l14_l17_model_ranking")
 def _(v):
-    rows = v.monthly.withColumn("fold", F.col("year") % 3)
-    schemes = [evaluate.Scheme("kfold", ("fold",)), evaluate.leave_site()]
-    zoo = [LinearModel("ols", tuple(X), "ols"), LinearModel("ridge", tuple(X), "ridge", 10.0), LinearModel("pls", tuple(X), "pls", components=2)]
-    table = models.score_table(rows, X, "y", schemes[:1], zoo, {"forest": ("forest", models.forest(trees=10, depth=4))})
-    site = models.score_table(rows, X, "y", schemes[1:], zoo, {})
-    return models.rank_models(table.unionByName(site))
+    return selection(v)[0]
 
 
 @query(
