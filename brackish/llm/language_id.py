@@ -22,6 +22,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from functools import cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +163,16 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))) % 4 == 2
 
 
-def accepted(identified: DataFrame, above: float = 0.0) -> DataFrame:
-    """Rows whose language is known: some letters, and a cosine above `above`."""
-    return identified.where((F.col("lang_pred") != "und") & (F.col("score") > above))
+def accepted(identified: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", chance: float = 0.001, short: int = 10) -> DataFrame:
+    """Rows of `identify` whose language is one of `prototypes`.
+
+    A text that shares no gram with a prototype has a cosine with it that is normal about 0 with variance one over the
+    dimensions. A text counts as known when its best cosine is greater than that of any of the prototypes would be with probability
+    `chance`. Fewer than `short` letters cannot tell; such texts stay when they have a letter and any likeness at all.
+    """
+    if not prototypes:
+        return identified.where("false")
+    dimensions = len(next(iter(prototypes.values())))
+    least = NormalDist().inv_cdf(1 - chance / len(prototypes)) / dimensions**0.5
+    letters = F.length(F.regexp_replace(F.col(text), r"\P{L}", ""))
+    return identified.where((F.col("lang_pred") != "und") & (F.col("score") > F.when(letters < short, 0.0).otherwise(least)))

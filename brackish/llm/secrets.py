@@ -1,20 +1,21 @@
 """Secrets in text: known shapes, and strings that pass a battery of randomness tests.
 
-Known shapes (assign, access, hex) are found as written. Every other string of `LEAST` or more
-key characters that mixes letters and digits is a candidate. Its encoding is the smallest
-alphabet that holds it; three tests then ask whether it could be drawn at random from it: a
+Known shapes (assign, access, hex) are found as written. Every other string of `LEAST` or more key characters that is no
+ordinary word (letters of one case, or one capital and small letters) is a candidate. Its encoding is the
+smallest alphabet that holds it; three tests then ask whether it could be drawn at random from it: a
 chi-squared test of uniform use of the alphabet, a runs test about its middle, and the
 correlation of neighbours. Fisher's method combines them into one p-value.
 
-Ordinary long words get the same battery. For every band of lengths, words up to that length give
-the chance that text which is no secret scores as well; longer words only score worse, so this is
+Ordinary strings get the same battery: long words, and neighbouring words of all texts glued with capitals to the
+least length of each band, as names in programs are. For every band of lengths, those up to its length give
+the chance that text which is no secret scores as well; longer ones only score worse, so this is
 on the safe side. A step-up rule then picks the band's threshold so that the expected share of false
-finds stays below `SHARE`. Counts run over the whole corpus; only a table of bands and bins
-(at most a few hundred rows) reaches the driver.
+finds stays below `SHARE`. Any few hundred words of prose are enough for that; a band with fewer than `ENOUGH` ordinary strings takes the
+battery's own p-value at level `LEVEL`. So a find in a text does not depend on the size of the corpus around it. Counts run over
+the whole corpus, without strings that touch a known shape; only a table of bands and bins (at most a few hundred rows) reaches the driver.
 
-Defined results: null and empty texts have no spans; a corpus without ordinary long words adds none.
-Places are code points. Repeated rows count as often as they occur; columns named like a result
-are replaced.
+Defined results: null and empty texts have no spans. Texts of any length are read whole. Places are code points. Repeated rows count as
+often as they occur; a column named `secrets` is replaced, all others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,16 +32,18 @@ from pyspark.sql import types as T
 from brackish.llm.tables import small
 
 KINDS = ("assign", "access", "hex", "random")
-LEAST, SHARE, BINS = 16, 0.01, 48
+LEAST, SHARE, BINS, ENOUGH, LEVEL = 16, 0.01, 48, 99, 0.05
 BANDS = np.array([16, 20, 28, 40, 64])
 
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
+_WORD = re.compile(r"(?<![A-Za-z])[A-Za-z][a-z]+(?![A-Za-z])")
 _CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}")
 
 # The alphabets of the encodings, smallest first, each in the order of its values.
 _ALPHABETS = (
+    "0123456789",
     "0123456789abcdef",
     "0123456789ABCDEF",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -55,7 +58,7 @@ _VALUES = np.full((len(_ALPHABETS), 128), -1, np.int16)
 for _i, _a in enumerate(_ALPHABETS):
     _VALUES[_i, [ord(c) for c in _a]] = range(len(_a))
 _SIZES = np.array([len(a) for a in _ALPHABETS])
-_MIXED = _ALPHABETS.index(_ALPHABETS[5])
+_MIXED = _ALPHABETS.index("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 
 
 def plain(text: str) -> list[tuple[int, int, int]]:
@@ -121,14 +124,28 @@ def _look(text: str) -> tuple[list[tuple[int, int, str]], list[str]]:
     found, words = [], []
     for m in _CANDIDATE.finditer(text):
         s = m[0]
-        if s.isalpha():
-            if s[1:].islower() or s.isupper():
-                words.append(s)
-        elif any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
+        if s.isalpha() and (s[1:].islower() or s.isupper()):
+            words.append(s)
+        else:
             found.append((m.start(), m.end(), s))
     return found, words
 
 
+def _apart(found: list[tuple[int, int, str]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """Candidates that touch no known shape."""
+    return [x for x in found if not any(s < x[1] and x[0] < e for s, _, e in base)] if base else found
+
+
+def _glued(text: str) -> Iterator[str]:
+    """Neighbouring words of a text glued to the least lengths of the bands, in turn."""
+    held, turn = "", 0
+    for m in _WORD.finditer(text):
+        held += m[0].capitalize()
+        if len(held) >= BANDS[turn]:
+            yield held
+            held, turn = "", (turn + 1) % len(BANDS)
+
+
 def _band(strings: list[str]) -> np.ndarray:
     return np.searchsorted(BANDS, [len(s) for s in strings], side="right") - 1
 
@@ -145,9 +162,11 @@ def thresholds(docs: DataFrame, text: str = "text", share: float = SHARE) -> dic
         for batch in small(batches):
             held: tuple[list[str], list[str]] = ([], [])
             for t in batch.column(0):
-                found, words = _look(t.as_py() or "")
-                held[0].extend(s for _, _, s in found)
+                text_ = t.as_py() or ""
+                found, words = _look(text_)
+                held[0].extend(s for _, _, s in (_apart(found, plain(text_)) if found else ()))
                 held[1].extend(words)
+                held[1].extend(_glued(text_))
                 for which in (0, 1):
                     if len(held[which]) > 20_000:
                         add(which, held[which])
@@ -165,7 +184,8 @@ def thresholds(docs: DataFrame, text: str = "text", share: float = SHARE) -> dic
     out = {}
     for b in range(len(BANDS)):
         words = above[1, : b + 1].sum(0)
-        if not words[0]:
+        if words[0] < ENOUGH:
+            out[b] = int(_bin(np.array([LEVEL]))[0])
             continue
         chance = (words + 1) / (words[0] + 1)
         good = np.flatnonzero((above[0, b] > 0) & (chance * above[0, b, 0] <= share * above[0, b]))
@@ -193,7 +213,7 @@ def find(docs: DataFrame, least_bins: dict[int, int], text: str = "text") -> Dat
                 base = plain(text_)
                 out = [(*x, True) for x in base]
                 found, _ = _look(text_)
-                found = [x for x in found if not any(s < x[1] and x[0] < e for s, _, e in base)]
+                found = _apart(found, base)
                 if found:
                     strings = [s for _, _, s in found]
                     good = _bin(battery(strings, np.zeros(len(strings), bool))) >= least[_band(strings)]
