@@ -3,7 +3,7 @@
 Known shapes (assign, access, hex) are found as written. Every other string of `LEAST` or more key characters that is no
 ordinary word (letters of one case, or one capital and small letters) is a candidate. Its encoding is the
 smallest alphabet that holds it; three tests then ask whether it could be drawn at random from it: a
-chi-squared test of uniform use of the alphabet, a runs test about its middle, and the
+chi-squared test of uniform use of the alphabet (over digits, common and rare letters of both cases, and signs), a runs test about its middle, and the
 correlation of neighbours. Fisher's method combines them into one p-value.
 
 Ordinary strings get the same battery: long words, and neighbouring words of all texts glued with capitals to the
@@ -57,6 +57,13 @@ _ALPHABETS = (
 _VALUES = np.full((len(_ALPHABETS), 128), -1, np.int16)
 for _i, _a in enumerate(_ALPHABETS):
     _VALUES[_i, [ord(c) for c in _a]] = range(len(_a))
+# The twelve most frequent letters of prose in western European languages, most frequent first.
+_COMMON = "etaoinsrhldu"
+_KINDS = 7
+_KIND = np.full(128, 6)
+for _i, _a in enumerate(("01234", "56789", _COMMON, "bcfgjkmpqvwxyz", _COMMON.upper(), "BCFGJKMPQVWXYZ")):
+    _KIND[[ord(c) for c in _a]] = _i
+_SHARES = np.array([[np.mean([_KIND[ord(c)] == k for c in a]) for k in range(_KINDS)] for a in _ALPHABETS])
 _SIZES = np.array([len(a) for a in _ALPHABETS])
 _MIXED = _ALPHABETS.index("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 
@@ -87,15 +94,12 @@ def battery(strings: list[str], ordinary: np.ndarray) -> np.ndarray:
     code = np.where(ordinary, _MIXED, fits.argmax(0))
     size, owner = _SIZES[code], np.repeat(np.arange(len(n)), n)
     value = _VALUES[code[owner], chars].astype(np.float64)
-    # chi-squared over equal classes of the alphabet, at least about four characters a class
-    classes = np.clip(n // 4, 4, 8)
-    cell = (value * classes[owner] // size[owner]).astype(np.int64)
-    counts = np.bincount(owner * 8 + cell, minlength=8 * len(n)).reshape(-1, 8)
-    edges = np.ceil(np.arange(9)[None, :] * size[:, None] / classes[:, None])
-    share = np.clip(np.minimum(edges[:, 1:], size[:, None]) - np.minimum(edges[:, :-1], size[:, None]), 0, None) / size[:, None]
+    # chi-squared over kinds of characters: prose, however it is cased, is full of common letters
+    counts = np.bincount(owner * _KINDS + _KIND[chars], minlength=_KINDS * len(n)).reshape(-1, _KINDS)
+    share = _SHARES[code]
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = np.where(share > 0, (counts - n[:, None] * share) ** 2 / (n[:, None] * share), 0).sum(1)
-        free = classes - 1.0
+        free = (share > 0).sum(1) - 1.0
         uniform = _tail((np.cbrt(chi / free) - (1 - 2 / (9 * free))) / np.sqrt(2 / (9 * free)))
         # runs above and below the middle of the alphabet
         high = value >= size[owner] / 2

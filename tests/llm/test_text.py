@@ -226,7 +226,7 @@ def test_finds_do_not_depend_on_the_corpus(spark):
         if corpus:
             docs = docs.unionByName(spark.read.parquet(cases.sf().replace("sf0.001", corpus)).select(docs.columns).withColumn("doc_id", F.col("doc_id") + 1000))
         out = secrets.find(docs, secrets.thresholds(docs)).where("doc_id < 1000").collect()
-        every = {(r.doc_id, s.start, s.end) for r in out for s in r.secrets}
+        every = {(r.doc_id, s.start, s.end) for r in out for s in r.secrets if s.kind == "random"}
         found.append({x for x in every if x[0] != 20})
         assert len(found[-1]) >= 17  # a few of the random strings look odd to the battery
         if corpus:  # the bare level is coarser than a corpus's own words
