@@ -7,6 +7,7 @@ nearest-neighbour searches join on grid cells, polygons on rows of cells.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,54 +130,73 @@ def _cells(dims: Sequence[Column], sizes: Sequence[float]) -> Column:
     return F.array(*[pack(i, s) for i, s in enumerate(sizes)])
 
 
-def _with_neighbour_cells(df: DataFrame, dims: int) -> DataFrame:
-    """Every row once for its own cell and once for each cell around it, the level kept."""
-    for j in range(dims):
-        step = _SIDE ** (2 - j)
-        df = df.withColumn("_d", F.explode(F.array(F.lit(-step), F.lit(0), F.lit(step)).cast("array<bigint>")))
-        df = df.withColumn("_cell", F.col("_cell") + F.col("_d")).drop("_d")
-    return df
+def _coordinate(cell: Column, j: int, dims: int) -> Column:
+    return F.shiftright(cell, 19 * (2 - j)).bitwiseAND(_SIDE - 1) - _SIDE // 2
+
 
+_LEAF = 64
 
-def _nearest_by_grid(
+
+def _nearest(
     points: DataFrame,
-    targets: DataFrame,
+    objects: DataFrame,
     sizes: Sequence[float],
     dims: int,
+    km: Column,
     answer: Column,
-    reach_of: Callable[[Column], Column],
-    up: Column,
+    lower: Callable[[list[tuple[Column, Column]]], Column],
+    cover: Callable[[Column], Column],
+    leaf: int = _LEAF,
 ) -> DataFrame:
-    """`_pid` with the smallest `answer` (a struct led by the distance `km`) over all targets.
+    """`_pid` with the smallest `answer` (a struct led by the distance) over all objects, by bounds on cells.
 
-    `points` has `_pid` and `_home` (its cells at every level), `targets` has
-    its cells exploded in `_cell`, and a payload. A point first looks around
-    at the finest level whose neighbourhood holds a target at all. What it
-    finds is final when it lies within `reach_of` that cell size; otherwise
-    the neighbourhood `up` levels higher is sure to hold the nearest one.
+    `points` has `_pid` and `_home` (its cells at every level of the ladder), `objects` has `_cells` (likewise) and a
+    payload `_o`, a struct; `km` is their distance, `lower` the least distance between a point and what is filed in a cell, from
+    the cell's box, and `cover` the cell size whose neighbourhood holds everything within a distance.
+
+    Objects are written once a level, and every occupied cell has a count and one representative. The representative of the
+    finest own cell that is occupied bounds the answer; the cells around the point at the level that covers this bound are its
+    candidates. Representatives tighten the bound, cells farther away than it are dropped, and cells of more than `leaf`
+    objects give way to their occupied parts. Only the objects of the small cells left are compared, so
+    a cluster costs every point a few cells a level, however many objects it holds.
     """
-    # Written once: it is read often, and the planner must see its size after the explosion.
-    around = settle(_with_neighbour_cells(targets, dims))
     top = len(sizes) - 1
-    # The top level holds everything in one neighbourhood and needs no test.
-    homes = points.select("_pid", F.explode(F.slice("_home", 1, top)).alias("_cell"))
-    finest = (
-        homes.join(around.select("_cell").distinct(), "_cell", "left_semi")
-        .groupBy("_pid")
-        .agg(F.shiftright(F.min("_cell"), _LEVEL_SHIFT).alias("_level"))
-    )
-    placed = points.join(finest, "_pid", "left").withColumn("_level", F.coalesce("_level", F.lit(top)))
-
-    def look(at: DataFrame, level: Column) -> DataFrame:
-        cell = F.element_at("_home", (F.least(level, F.lit(top)) + 1).cast("int"))
-        pairs = at.withColumn("_cell", cell).join(around, "_cell")
-        return pairs.groupBy("_pid").agg(F.min(answer).alias("_best"), F.first("_level").alias("_level"))
-
-    size = F.element_at(F.array(*[F.lit(float(s)) for s in sizes]), (F.col("_level") + 1).cast("int"))
-    near = settle(look(placed, F.col("_level")))
-    final = (F.col("_best.km") <= reach_of(size)) | (F.col("_level") == top)
-    open_ = near.where(~final).select("_pid", "_level").join(points, "_pid")
-    return near.where(final).unionByName(look(open_, F.col("_level") + up)).drop("_level")
+    filed = objects.select("_o", "_cells", F.posexplode("_cells").alias("_level", "_cell"))
+    filed = settle(filed.select("_o", "_cell", F.get("_cells", F.col("_level") + 1).alias("_up")))
+    tree = settle(filed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_o"), F.first("_up").alias("_up")))
+    any_one = filed.agg(F.min("_o").alias("_any"))
+
+    own = points.select("*", F.explode("_home").alias("_cell")).join(tree.select("_cell", "_o"), "_cell")
+    own = own.groupBy("_pid").agg(F.min_by("_o", "_cell").alias("_o"))  # the level leads the cell's number
+    start = points.join(own, "_pid", "left").withColumn("_one", F.lit(1)).join(any_one.withColumn("_one", F.lit(1)), "_one")
+    start = start.withColumn("_o", F.coalesce("_o", "_any")).where(F.col("_o").isNotNull()).withColumn("_u", km)
+    level = F.lit(top)
+    for i in reversed(range(top)):
+        level = F.when(cover(F.col("_u")) <= sizes[i], i).otherwise(level)
+    offsets = [0]
+    for j in range(dims):
+        offsets = [o + d * _SIDE ** (2 - j) for o in offsets for d in (-1, 0, 1)]
+    around = F.transform(F.array(*[F.lit(o) for o in offsets]), lambda o: F.get("_home", level) + o)
+    now = start.select("_pid", "_u", F.explode(around).alias("_cell")).join(tree, "_cell")
+
+    size = F.element_at(F.array(*[F.lit(float(x)) for x in sizes]), (F.shiftright("_cell", _LEVEL_SHIFT) + 1).cast("int"))
+    box = [(_coordinate(F.col("_cell"), j, dims) * size, (_coordinate(F.col("_cell"), j, dims) + 1) * size) for j in range(dims)]
+    same = Window.partitionBy("_pid")
+    leaves = []
+    for _ in range(top + 1):
+        now = now.withColumn("_u", F.least("_u", F.min(km).over(same)))
+        now = settle(now.where(lower(box) <= F.col("_u") * (1 + 1e-9) + 1e-9).select("_pid", "_u", "_cell", "_n"))
+        last = (F.col("_n") <= leaf) | (F.shiftright("_cell", _LEVEL_SHIFT) == 0)
+        leaves.append(now.where(last))
+        rest = now.where(~last)
+        if rest.isEmpty():
+            break
+        parts = tree.select(F.col("_cell").alias("_part"), F.col("_n").alias("_m"), "_o", F.col("_up").alias("_cell"))
+        now = rest.join(parts, "_cell").select("_pid", "_u", F.col("_part").alias("_cell"), F.col("_m").alias("_n"), "_o")
+    found = reduce(DataFrame.unionByName, leaves)
+    # bounds of later turns drop cells that earlier turns let through
+    found = found.withColumn("_u", F.min("_u").over(same)).where(lower(box) <= F.col("_u") * (1 + 1e-9) + 1e-9)
+    return found.join(filed.select("_cell", "_o"), "_cell").groupBy("_pid").agg(F.min(answer).alias("_best"))
 
 
 def nearest_place(
@@ -192,33 +212,36 @@ def nearest_place(
 ) -> DataFrame:
     """The nearest target of every point and its distance in km; of equally near ones the smaller id.
 
-    The search runs on cubes around earth-centred coordinates, so neither the
-    date line nor the poles are special. Cubes grow fourfold per level from
-    `finest_km` to the size of the earth: a target in the neighbourhood at
-    one level is at most 2*sqrt(3) cubes away, which the next level covers.
-    Identical positions are searched once.
+    By great circles the search runs on cubes around earth-centred coordinates, so neither the date line nor the poles are
+    special; by the flat `local` distance it runs on cells of degrees. Cells grow fourfold per level. Identical
+    positions are searched once, on either side.
     """
     if EARTH_KM / finest_km >= _SIDE // 2:
         raise ValueError(f"finest_km must exceed {2 * EARTH_KM / _SIDE:.3f}")
-    sizes = [finest_km * 4**i for i in range(16) if finest_km * 4 ** (i - 1) < 2 * EARTH_KM]
-
-    def sphere(la: str, lo: str) -> list[Column]:
-        a, b = F.radians(F.col(la)), F.radians(F.col(lo))
-        return [F.cos(a) * F.cos(b) * EARTH_KM, F.cos(a) * F.sin(b) * EARTH_KM, F.sin(a) * EARTH_KM]
-
-    spots = points.select(F.col(lat).alias("_la"), F.col(lon).alias("_lo")).distinct()
-    spots = spots.select(F.struct("_la", "_lo").alias("_pid"), _cells(sphere("_la", "_lo"), sizes).alias("_home"))
-    places = targets.select(
-        F.col(target_id).alias("_tid"),
-        F.col(target_lat).alias("_tla"),
-        F.col(target_lon).alias("_tlo"),
-        F.explode(_cells(sphere(target_lat, target_lon), sizes)).alias("_cell"),
-    )
-    flat = distance != "haversine"
-    km = (local_km if flat else haversine_km)(F.col("_pid._la"), F.col("_pid._lo"), F.col("_tla"), F.col("_tlo"))
-    answer = F.struct(km.alias("km"), F.col("_tid").alias("id"))
-    # The flat distance only approximates the one the cubes measure, hence its margin.
-    best = _nearest_by_grid(spots, places, sizes, 3, answer, lambda size: size * (0.85 if flat else 1.0), F.lit(1))
+    spots = points.select(F.col(lat).alias("_la"), F.col(lon).alias("_lo")).distinct().dropna()
+    spots = spots.withColumn("_pid", F.struct("_la", "_lo"))
+    places = targets.groupBy(F.col(target_lat).cast("double").alias("_tla"), F.col(target_lon).cast("double").alias("_tlo")).agg(F.min(target_id).alias("_tid"))
+    places = places.dropna().withColumn("_o", F.struct("_tid", "_tla", "_tlo"))
+    here, there = (F.col("_pid._la"), F.col("_pid._lo")), (F.col("_o._tla"), F.col("_o._tlo"))
+    if distance == "haversine":
+        sizes = [finest_km * 4**i for i in range(16) if finest_km * 4 ** (i - 1) < 2 * EARTH_KM]
+
+        def sphere(la: Column, lo: Column) -> list[Column]:
+            a, b = F.radians(la), F.radians(lo)
+            return [F.cos(a) * F.cos(b) * EARTH_KM, F.cos(a) * F.sin(b) * EARTH_KM, F.sin(a) * EARTH_KM]
+
+        home, cells = _cells(sphere(F.col("_la"), F.col("_lo")), sizes), _cells(sphere(F.col("_tla"), F.col("_tlo")), sizes)
+        km = haversine_km(*here, *there)
+
+        def lower(box):
+            # the chord to a box, and the arc that belongs to it
+            chord = F.sqrt(sum((F.pow(_outside(x, *side), 2) for x, side in zip(sphere(*here), box)), F.lit(0.0)))
+            return F.asin(F.least(chord / (2 * EARTH_KM), F.lit(1.0))) * (2 * EARTH_KM)
+
+        best = _nearest(spots.select("_pid", home.alias("_home")), places.select("_o", cells.alias("_cells")), sizes, 3, km, F.struct(km.alias("km"), F.col("_o._tid").alias("id")), lower, lambda u: u)
+    else:
+        km = local_km(*here, *there)
+        best = _nearest_flat(spots, places, [F.col("_tlo"), F.col("_tla")], km, F.struct(km.alias("km"), F.col("_o._tid").alias("id")), max(finest_km / KM_PER_DEGREE, 0.0015), 0.0, KM_PER_DEGREE)
     best = best.select(
         F.col("_pid._la").alias(lat),
         F.col("_pid._lo").alias(lon),
@@ -228,6 +251,28 @@ def nearest_place(
     return points.join(best, [lat, lon], "left")
 
 
+def _outside(x: Column, low: Column, high: Column) -> Column:
+    """How far a coordinate is outside an interval."""
+    return F.greatest(low - x, x - high, F.lit(0.0))
+
+
+def _nearest_flat(spots: DataFrame, objects: DataFrame, middle: Sequence[Column], km: Column, answer: Column, finest: float, half: float, scale: float) -> DataFrame:
+    """`_nearest` in a flat projection centred on each point; objects reach at most `half` degrees from their middle (lon, lat)."""
+    sizes = [finest * 4**i for i in range(16) if finest * 4 ** (i - 1) < 720]
+    if 360 / finest >= _SIDE // 2:
+        raise ValueError(f"the finest cell must exceed {720 / _SIDE:.5f} degrees")
+    la, lo = F.col("_pid._la"), F.col("_pid._lo")
+    cos = F.cos(F.radians(la))
+
+    def lower(box):
+        dx, dy = _outside(lo, box[0][0] - half, box[0][1] + half), _outside(la, box[1][0] - half, box[1][1] + half)
+        return F.hypot(dx * cos * scale, dy * scale)
+
+    points = spots.select("_pid", _cells([F.col("_lo"), F.col("_la")], sizes).alias("_home"))
+    filed = objects.select("_o", _cells(middle, sizes).alias("_cells"))
+    return _nearest(points, filed, sizes, 2, km, answer, lower, lambda u: u / (F.greatest(cos, F.lit(1e-9)) * scale) + half)
+
+
 def grid_key(value: Column, step: float, origin: float = 0.0) -> Column:
     """Index of the nearest node of a regular axis."""
     return F.round((value - origin) / step).cast("long")
@@ -283,12 +328,9 @@ def distance_to_lines_km(
 ) -> DataFrame:
     """Distance of every point to the nearest segment, in a flat projection centred on the point.
 
-    Long segments are cut into stretches of at most one finest cell (cutting
-    does not change the minimum), which are then found through the same
-    ladder of cells as places; the ladder is climbed further at high
-    latitudes, where a degree of longitude is short.
+    Long segments are cut into stretches of at most one finest cell (cutting does not change the minimum), which are
+    then found through bounds on cells (`_nearest`), at every latitude.
     """
-    sizes = [finest_deg * 4**i for i in range(9) if finest_deg * 4 ** (i - 1) < 720]
     count = F.greatest(
         F.lit(1),
         F.ceil(
@@ -305,30 +347,21 @@ def distance_to_lines_km(
         along("lon1", "lon2", 0).alias("_x1"),
         along("lat1", "lat2", 1).alias("_y2"),
         along("lon1", "lon2", 1).alias("_x2"),
-    )
-    middle = [(F.col("_x1") + F.col("_x2")) / 2, (F.col("_y1") + F.col("_y2")) / 2]
-    cut = cut.withColumn("_cell", F.explode(_cells(middle, sizes)))
-    spots = points.select(F.col(lat).alias("_la"), F.col(lon).alias("_lo")).distinct()
-    spots = spots.select(
-        F.struct("_la", "_lo").alias("_pid"), _cells([F.col("_lo"), F.col("_la")], sizes).alias("_home")
-    )
-    # A stretch whose middle is in the neighbourhood is within 2 * sqrt(2)
-    # cells; whatever is nearer must be covered in longitude as well, with
-    # half a stretch to spare for its middle.
-    shrink = F.greatest(F.cos(F.radians(F.col("_pid._la"))), F.lit(0.01))
-    up = F.ceil(F.log2(F.lit(2 * 2**0.5 + 0.5) / shrink) / 2).cast("int")
+    ).dropna()
+    cut = cut.withColumn("_o", F.struct("_x1", "_y1", "_x2", "_y2"))
+    spots = points.select(F.col(lat).alias("_la"), F.col(lon).alias("_lo")).distinct().dropna()
+    spots = spots.withColumn("_pid", F.struct("_la", "_lo"))
     rad = 3.141592653589793 / 180.0 * EARTH_KM
     cos = F.cos(F.radians(F.col("_pid._la")))
-    ax, ay = (F.col("_x1") - F.col("_pid._lo")) * cos * rad, (F.col("_y1") - F.col("_pid._la")) * rad
-    bx, by = (F.col("_x2") - F.col("_pid._lo")) * cos * rad, (F.col("_y2") - F.col("_pid._la")) * rad
+    ax, ay = (F.col("_o._x1") - F.col("_pid._lo")) * cos * rad, (F.col("_o._y1") - F.col("_pid._la")) * rad
+    bx, by = (F.col("_o._x2") - F.col("_pid._lo")) * cos * rad, (F.col("_o._y2") - F.col("_pid._la")) * rad
     dx, dy = bx - ax, by - ay
     size = dx * dx + dy * dy
     share = -(ax * dx + ay * dy) / F.when(size == 0, F.lit(1e-12)).otherwise(size)
     share = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
-    answer = F.struct(F.hypot(ax + share * dx, ay + share * dy).alias("km"))
-    best = _nearest_by_grid(
-        spots, cut, sizes, 2, answer, lambda size: (size - finest_deg / 2) * F.greatest(cos, F.lit(0.0)) * rad, up
-    )
+    km = F.hypot(ax + share * dx, ay + share * dy)
+    middle = [(F.col("_x1") + F.col("_x2")) / 2, (F.col("_y1") + F.col("_y2")) / 2]
+    best = _nearest_flat(spots, cut, middle, km, F.struct(km.alias("km")), finest_deg, finest_deg / 2, rad)
     best = best.select(F.col("_pid._la").alias(lat), F.col("_pid._lo").alias(lon), F.col("_best.km").alias("dist_km"))
     return points.join(best, [lat, lon], "left")
 
@@ -338,33 +371,65 @@ def in_rings(
 ) -> DataFrame:
     """Pixels inside each region by the even-odd rule; a pixel in two regions appears twice.
 
-    `ring_edges` has (region, x1, y1, x2, y2) and any `keys` shared with the
-    pixels. Edges are gathered per row of height `row` and the row's x-extent
-    is cut into cells, so that a pixel meets only regions of its own row and
-    neighbourhood and only the few edges crossing that row.
+    `ring_edges` has (region, x1, y1, x2, y2), closed rings, and any `keys` shared with the pixels. The plane is cut into cells of
+    height `row` and 32 times that width, off the round numbers on which vertices lie. A cell knows whether its lower right corner is
+    inside, from the number of edges that cross its lower line farther right; a pixel then counts the edges of its own cell on
+    the way from that corner (up the right side, then left). Cells without edges lie inside or outside as a whole. So no
+    list grows with a row, and a pixel meets only what touches its own cell.
     """
     wide = row * 32
+    off_x, off_y = wide * 0.6180339887, row * 0.3819660113
+
+    def col_of(x: Column) -> Column:
+        return F.floor((x - off_x) / wide)
+
+    def row_of(y: Column) -> Column:
+        return F.floor((y - off_y) / row)
+
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    rows = ring_edges.withColumn(
-        "_row", F.explode(F.sequence(F.floor(low / row), F.floor(high / row)))
-    )
-    extent = rows.groupBy(*keys, region, "_row").agg(
-        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"),
-        F.floor(F.min(F.least("x1", "x2")) / wide).alias("_from"),
-        F.floor(F.max(F.greatest("x1", "x2")) / wide).alias("_to"),
-    )
-    # Written, so that the planner sees the size of the cells and not that of the rings they come from.
-    cells = settle(extent.withColumn("_col", F.explode(F.sequence("_from", "_to"))).drop("_from", "_to"))
-    here = pixels.withColumn("_row", F.floor(F.col(y) / row)).withColumn("_col", F.floor(F.col(x) / wide))
-    px, py = F.col(x), F.col(y)
-
-    def crosses(e: Column) -> Column:
-        spans = (e["y1"] > py) != (e["y2"] > py)
-        at = (e["x2"] - e["x1"]) * (py - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
-        return F.coalesce(spans & (px < at), F.lit(False))
-
-    joined = here.join(cells, [*keys, "_row", "_col"])
-    inside = F.size(F.filter("_edges", crosses)) % 2 == 1
+    edges = ring_edges.select(*keys, region, *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    edges = edges.withColumn("_row", F.explode(F.sequence(row_of(low), row_of(high))))
+    bottom = F.col("_row") * row + off_y
+    rise = F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+
+    def x_at(y: Column) -> Column:
+        return (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / rise + F.col("x1")
+
+    # the stretch of the edge within the row, with a little to spare
+    ends = [F.greatest(bottom, low), F.least(bottom + row, high)]
+    xs = [F.coalesce(x_at(y), x) for y, x in zip(ends, (F.col("x1"), F.col("x2")))]
+    spare = wide * 1e-9
+    first, last = F.greatest(F.least(*xs), F.least("x1", "x2")) - spare, F.least(F.greatest(*xs), F.greatest("x1", "x2")) + spare
+    crosses = (F.col("y1") > bottom) != (F.col("y2") > bottom)
+    edges = edges.withColumns({"_from": col_of(first), "_to": col_of(last), "_cross": F.when(crosses, col_of(x_at(bottom)))})
+    edges = settle(edges)
+    touched = edges.withColumn("_col", F.explode(F.sequence("_from", "_to")))
+    place = [*keys, region, "_row", "_col"]
+    lists = touched.groupBy(*place).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
+    crossed = edges.where(F.col("_cross").isNotNull()).groupBy(*keys, region, "_row", F.col("_cross").alias("_col")).agg(F.count(F.lit(1)).alias("_m"))
+    cells = settle(lists.join(crossed, place, "full").withColumn("_m", F.coalesce("_m", F.lit(0))))
+    right = Window.partitionBy(*keys, region, "_row").orderBy(F.desc("_col"))
+    marks = cells.select(*place, "_m")
+    marks = marks.withColumn("_odd", F.coalesce(F.sum("_m").over(right.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2)
+    marks = settle(marks.withColumn("_left", F.lead("_col").over(right)))
+    # between two cells with edges everything is inside when an odd number of edges is crossed from there on
+    gap = marks.where(((F.col("_odd") + F.col("_m")) % 2 == 1) & (F.col("_left") < F.col("_col") - 1))
+    whole = gap.select(*keys, region, "_row", F.explode(F.sequence(F.col("_left") + 1, F.col("_col") - 1)).alias("_col"), F.lit(1).cast("long").alias("_odd"), F.array().cast(cells.schema["_edges"].dataType).alias("_edges"))
+    known = cells.drop("_m").join(marks.select(*place, "_odd"), place).select(*place, "_odd", F.coalesce("_edges", F.array().cast(cells.schema["_edges"].dataType)).alias("_edges"))
+    known = settle(known.unionByName(whole))
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    here = pixels.withColumn("_row", row_of(py)).withColumn("_col", col_of(px))
+    side, floor = (F.col("_col") + 1) * wide + off_x, F.col("_row") * row + off_y
+
+    def counts(e: Column) -> Column:
+        across = (e["x2"] - e["x1"]) * (py - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
+        level = ((e["y1"] > py) != (e["y2"] > py)) & (across > px) & (across <= side)
+        along = (e["y2"] - e["y1"]) * (side - e["x1"]) / F.nullif(e["x2"] - e["x1"], F.lit(0.0)) + e["y1"]
+        upright = ((e["x1"] > side) != (e["x2"] > side)) & (along > floor) & (along <= py)
+        return F.when(F.coalesce(level, F.lit(False)), 1).otherwise(0) + F.when(F.coalesce(upright, F.lit(False)), 1).otherwise(0)
+
+    joined = here.join(known, [*keys, "_row", "_col"])
+    inside = (F.col("_odd") + F.aggregate("_edges", F.lit(0), lambda n, e: n + counts(e))) % 2 == 1
     return joined.where(inside).select(*pixels.columns, region)
 
 
