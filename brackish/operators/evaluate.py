@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brackish.functions.energy import clip
@@ -44,17 +44,24 @@ def leave_site(min_test: int = 5) -> Scheme:
 
 
 def month_blocks(df: DataFrame, date: str, k: int = 5, site: str = "site") -> tuple[DataFrame, Scheme]:
-    """Within-site folds made of whole months; sites with fewer than `k` months are left out."""
+    """Within-site folds made of whole months, of even size; sites with fewer than `k` months are left out.
+
+    The months of a site are dealt by size, the largest first, each into the fold that has the fewest rows by then; of equal months
+    the earlier comes first, of equal folds the lower number. The months of one site are a short list, dealt in one expression.
+    """
     month = df.withColumn("_month", F.trunc(date, "month"))
-    w = Window.partitionBy(site)
-    months = month.select(site, "_month").distinct()
-    ranked = months.select(
-        site,
-        "_month",
-        (F.row_number().over(w.orderBy("_month")) - 1).alias("_rank"),
-        F.count(F.lit(1)).over(w).alias("_months"),
-    )
-    folds = ranked.where(F.col("_months") >= k).select(site, "_month", (F.col("_rank") % k).alias("month_fold"))
+    sizes = month.groupBy(site, "_month").agg(F.count(F.lit(1)).alias("_n"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("m"), "_month")))
+    lists = sizes.groupBy(site).agg(order.alias("_months")).where(F.size("_months") >= k)
+    empty = F.struct(F.array_repeat(F.lit(0).cast("long"), k).alias("full"), F.array().cast("array<struct<_month: date, fold: int>>").alias("dealt"))
+
+    def deal(state: Column, item: Column) -> Column:
+        into = F.array_position(state["full"], F.array_min(state["full"])).cast("int") - 1
+        full = F.transform(state["full"], lambda n, i: F.when(i == into, n - item["m"]).otherwise(n))
+        return F.struct(full.alias("full"), F.array_append(state["dealt"], F.struct(item["_month"].alias("_month"), into.alias("fold"))).alias("dealt"))
+
+    dealt = lists.select(site, F.explode(F.aggregate("_months", empty, deal)["dealt"]).alias("_d"))
+    folds = dealt.select(site, F.col("_d._month").alias("_month"), F.col("_d.fold").alias("month_fold"))
     out = month.join(settle(folds), [site, "_month"]).drop("_month")
     return out, Scheme("month_blocks", (site, "month_fold"), (site,))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from brackish.functions.energy import clip
-from brackish.operators import energy_supply, evaluate, features, linear, models, trees
+from brackish.operators import energy_supply, evaluate, features, linear, models, robust, trees
 from brackish.operators.linear import LinearModel
 from brackish.plans.registry import query, r, rsql
 
@@ -88,7 +88,11 @@ def _(v):
 
 @query(
     "v5_month_blocks",
-    f"""WITH m AS (SELECT site, month, (row_number() OVER (PARTITION BY site ORDER BY month) - 1) % 5 AS month_fold, count(*) OVER (PARTITION BY site) AS k FROM monthly),
+    f"""WITH RECURSIVE o AS (SELECT site, month, n, row_number() OVER (PARTITION BY site ORDER BY n DESC, month) AS i, count(*) OVER (PARTITION BY site) AS k FROM monthly),
+    d AS (SELECT DISTINCT site, CAST(0 AS BIGINT) AS i, CAST(NULL AS DATE) AS month, CAST(0 AS BIGINT) AS month_fold, [0, 0, 0, 0, 0]::BIGINT[] AS filled FROM o
+    UNION ALL SELECT o.site, o.i, o.month, list_position(d.filled, list_min(d.filled)) - 1, list_transform(d.filled, lambda x, j: CASE WHEN j = list_position(d.filled, list_min(d.filled)) THEN x + o.n ELSE x END)::BIGINT[]
+    FROM d JOIN o ON o.site = d.site AND o.i = d.i + 1),
+    m AS (SELECT d.site, d.month, d.month_fold, k FROM d JOIN (SELECT DISTINCT site, k FROM o) USING (site) WHERE i > 0),
     f AS (SELECT s.*, month_fold FROM samples s JOIN m ON s.site = m.site AND date_trunc('month', s.date) = m.month WHERE k >= 5), {line_oof('site, month_fold', 'site', table='f')} {score_sql('oof', 'site')}""",
 )
 def _(v):
@@ -456,6 +460,12 @@ def _(v):
     return evaluate.metrics(trees.cross_validate(rows, X, "y", schemes, zoo), ["model", "scheme"])
 
 
+@query("l4_huber_three_schemes")
+def _(v):
+    rows, schemes = three_schemes(v)
+    return evaluate.metrics(robust.cross_validate(rows, X, "y", schemes), ["model", "scheme"])
+
+
 @query("l6_knn_three_schemes")
 def _(v):
     rows, schemes = three_schemes(v)
@@ -508,9 +518,9 @@ def _(v):
 def _(v):
     import uuid
 
-    from brackish.session import durable_folder
+    from brackish.session import work_folder
 
-    path = f"{durable_folder(v.spark)}/model-{uuid.uuid4().hex}"
+    path = f"{work_folder(v.spark)}/model-{uuid.uuid4().hex}"
     rows = v.strict.dropna(subset=["NDVI", "MNDWI", "LST"])
     fitted = models.forest(trees=10, depth=5)(rows, ["NDVI", "MNDWI"], "LST")
     models.save_model(fitted, path, {"features": ["NDVI", "MNDWI"]})

@@ -147,8 +147,18 @@ TURB = """hh AS (SELECT site, 0.1 + H / 100 AS ustar, 2 + TA / 10 AS umean, radi
     SELECT site, CAST(ix * 100 AS INTEGER) AS x, CAST(iy * 100 AS INTEGER) AS y, {rsql('w / sum(w) OVER (PARTITION BY site)', 'w', 7)} FROM m""",
 )
 def _(v):
+    return footprint.climatology(turbulence(v), ["site"], F.lit(4.0), domain=300, step=100).select("site", "x", "y", r("w", "w", 7))
+
+
+@query("r11_footprint_grid")
+def _(v):
+    """The grid of the operator: 121 x 121 cells of 10 m."""
+    return footprint.climatology(turbulence(v), ["site"], F.lit(4.0))
+
+
+def turbulence(v):
     h = F.col("H")
-    rows = v.flux_hh.where("LE IS NOT NULL").select(
+    return v.flux_hh.where("LE IS NOT NULL").select(
         "site",
         (h / 100 + 0.1).alias("ustar"),
         (F.col("TA") / 10 + 2).alias("umean"),
@@ -156,7 +166,6 @@ def _(v):
         (h / 200 + 0.2).alias("sigmav"),
         F.when(h < 40, -h - 50.0).otherwise(h + 200.0).alias("obukhov"),
     )
-    return footprint.climatology(rows, ["site"], F.lit(4.0), domain=300, step=100).select("site", "x", "y", r("w", "w", 7))
 
 
 @query("r12_mosaic", f"SELECT site, date, pos, {rsql('avg(red)', 'red')}, {rsql('avg(LST)', 'LST')} FROM clear GROUP BY 1, 2, 3")

@@ -202,6 +202,8 @@ def with_views(body: str) -> str:
     if not order:
         return body
     views = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order)
+    if body.lstrip().upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views},\n{body.lstrip()[15:]}"
     if body.lstrip().upper().startswith("WITH "):
         return f"WITH {views},\n{body.lstrip()[5:]}"
     return f"WITH {views}\n{body}"

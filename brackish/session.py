@@ -66,6 +66,11 @@ def job(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder of the job that runs, or the shared one outside of jobs."""
+    return _JOB.get() or durable_folder(spark).rstrip("/")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write `df` once and read it back.
 
@@ -74,7 +79,6 @@ def settle(df: DataFrame) -> DataFrame:
     which then broadcasts it below `spark.sql.autoBroadcastJoinThreshold`
     and shuffles it above - no broadcast hint is needed anywhere.
     """
-    folder = _JOB.get() or durable_folder(df.sparkSession).rstrip("/")
-    path = f"{folder}/settled-{uuid.uuid4().hex}"
+    path = f"{work_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

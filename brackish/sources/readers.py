@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,37 +52,41 @@ def day_stamp(text: Column) -> Column:
 def _by_header(
     spark: SparkSession, paths: str | Sequence[str], key: str, chosen: Callable[[list[str]], dict[str, str | None]]
 ) -> DataFrame:
-    """Delimited files that differ in their columns, in one scan.
+    """Delimited files that differ in their columns; nothing runs while the plan is built.
 
-    Spark's CSV reader takes the columns of one file for all. Here each
-    file's header line is the one naming the column `key`; `chosen` maps its
-    names to output columns; rows look their fields up by the positions of
-    their own file. Files without `key` yield nothing. Returns site, the key
-    as text, and doubles.
+    Spark's CSV reader takes the columns of one file for all. Here each file's header is the line in its first split that
+    names the column `key`; the headers stay a table of one row a file, where `chosen` maps their names to output
+    columns, and rows look their fields up by the positions of their own file. Files without `key` yield nothing. The site is
+    in the name of the file or of its folder. Returns site, the key as text, and doubles.
     """
     lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
-        F.col("_metadata.file_path").alias("_file"), "value"
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), "value"
     )
-    heads = lines.where(F.col("value").rlike(rf'(^|,)\s*"?{key}"?\s*(,|$)')).collect()  # one line per file
-    places = []
-    for head in heads:
-        names = [n.strip().strip('"') for n in head["value"].split(",")]
-        picked = chosen(names)
-        places.append((head["_file"], names.index(key), *[names.index(n) if n else None for n in picked.values()]))
+    heads = lines.where((F.col("_start") == 0) & F.col("value").rlike(rf'(^|,)\s*"?{key}"?\s*(,|$)'))
     out = list(chosen([]))
-    schema = "_file string, _key int" + "".join(f", `_at_{c}` int" for c in out)
-    table = spark.createDataFrame(places, schema)
-    fields = F.split("value", ",")
-    rows = lines.join(table, "_file").withColumn("_a", fields)
 
-    def text(place: str) -> Column:
-        return F.trim(F.get("_a", F.col(place)).cast("string"), F.lit('" \t\r'))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for line in batch.column(1).to_pylist():
+                names = [n.strip().strip('"') for n in line.split(",")]
+                rows.append([names.index(key), *[names.index(n) if n else None for n in chosen(names).values()]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["_file", "_at"])
 
-    site = F.regexp_extract(F.element_at(F.split("_file", "/"), -1), _SITE_PART, 1)
+    heads = heads.groupBy("_file").agg(F.min("value").alias("value"))
+    table = heads.mapInArrow(place, "_file string, _at array<int>")
+    rows = lines.join(table, "_file").withColumn("_a", F.split("value", ","))
+
+    def text(i: int) -> Column:
+        return F.trim(F.get("_a", F.col("_at")[i]).cast("string"), F.lit('" \t\r'))
+
+    parts = F.split("_file", "/")
+    name, folder = F.element_at(parts, -1), F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))
+    site = F.when(name.rlike(_SITE_PART), F.regexp_extract(name, _SITE_PART, 1)).otherwise(F.regexp_extract(folder, _SITE_PART, 1))
     return rows.select(
         site.alias("site"),
-        text("_key").alias("_key"),
-        *[known(text(f"`_at_{c}`").try_cast("double")).alias(c) for c in out],
+        text(0).alias("_key"),
+        *[known(text(i + 1).try_cast("double")).alias(c) for i, c in enumerate(out)],
     )
 
 
@@ -119,6 +125,13 @@ def read_met_daily(spark: SparkSession, reanalysis: str | None, gridded: str | N
     return out.withColumn("VPD_ERA", met.kpa_to_hpa(F.col("VPD_ERA")))
 
 
+def met_by_site(*sources: DataFrame, site: str = "site") -> DataFrame:
+    """Rows of the first source that has a site at all; sources have the same columns, best one first."""
+    ranked = reduce(DataFrame.unionByName, [s.withColumn("_rank", F.lit(i)) for i, s in enumerate(sources)])
+    best = ranked.groupBy(site).agg(F.min("_rank").alias("_rank"))
+    return ranked.join(best, [site, "_rank"], "left_semi").drop("_rank")
+
+
 def gridded_met(raw: DataFrame) -> DataFrame:
     """Gridded daily extremes (kelvin, percent) to the meteorology in use."""
     tx, tn = met.kelvin_to_c(F.col("tmmx")), met.kelvin_to_c(F.col("tmmn"))
@@ -215,11 +228,13 @@ def read_coastline(spark: SparkSession, path: str, bbox: tuple[float, float, flo
 
 
 def read_water_level(spark: SparkSession, paths: str | Sequence[str], gauge: str = "gauge") -> DataFrame:
-    """Water-level payloads (`data: [{t, v}]`); unreadable levels become null, the gauge is in the file name."""
+    """Water-level payloads (`data: [{t, v}]`); unreadable levels become null, the gauge is in the name of the file or of a folder."""
     raw = spark.read.schema("data array<struct<t: string, v: string>>").json(
         paths if isinstance(paths, str) else list(paths), multiLine=True
     )
-    name = F.regexp_extract(F.element_at(F.split(F.input_file_name(), "/"), -1), r"^([^_.]+)", 1)
+    raw = raw.select("data", F.input_file_name().alias("_path"))
+    folder = F.regexp_extract_all("_path", F.lit(rf"{gauge}=([^/]+)/"), 1)
+    name = F.coalesce(F.try_element_at(folder, F.lit(-1)), F.regexp_extract(F.element_at(F.split("_path", "/"), -1), r"^([^_.]+)", 1))
     rows = raw.select(name.alias(gauge), F.explode("data").alias("_d"))
     return rows.select(
         gauge, F.try_to_timestamp("_d.t").alias("ts"), F.col("_d.v").try_cast("double").alias("water_level_m")

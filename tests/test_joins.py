@@ -161,3 +161,33 @@ def test_equal_coordinates_of_two_zones_stay_apart(spark):
     pixels_ = spark.createDataFrame([("z1", "A", 50.0, 50.0), ("z2", "B", 50.0, 50.0)], "zone string, site string, px double, py double")
     out = joins.in_rings(pixels_, spark.createDataFrame(edges, "zone string, region int, x1 double, y1 double, x2 double, y2 double"), "region", "px", "py", keys=["zone"])
     assert [r["site"] for r in out.collect()] == ["A"]
+
+
+def test_footprint_equals_the_full_product(spark):
+    """Only the upwind strips are laid out; the sum is that of every half hour over every cell."""
+    import math
+    import random
+
+    rng = random.Random(2)
+    rows = [("a", rng.uniform(0.1, 0.6), rng.uniform(0.2, 0.9), rng.choice([-80.0, 300.0]), wd, rng.uniform(1, 5)) for wd in (0.0, 90.0, 180.0, 270.0, 360.0, 45.0, *[rng.uniform(0, 360) for _ in range(9)])]
+    df = spark.createDataFrame(rows, "site string, ustar double, sigmav double, obukhov double, wind_dir double, umean double")
+    got = {(r["x"], r["y"]): r["w"] for r in footprint.climatology(df, ["site"], F.lit(4.0), 300, 20).collect()}
+    assert len(got) == 31 * 31
+
+    def density(x, y, ustar, sigmav, obukhov, umean, zm=4.0, h=1000.0):
+        profile, thin = umean / ustar * 0.4, 1 - zm / h
+        xs = x / zm * thin / profile
+        if xs <= footprint.D:
+            return 0.0
+        along = footprint.A * (xs - footprint.D) ** footprint.B * math.exp(-footprint.C / (xs - footprint.D)) / zm * thin / profile
+        ps = min(1.0, abs(obukhov / zm) * 1e-5 + (0.8 if obukhov <= 0 else 0.55))
+        sigma = footprint.AC * math.sqrt(footprint.BC * xs * xs / (1 + footprint.CC * xs)) / ps * zm * sigmav / ustar
+        return along * math.exp(-y * y / (2 * sigma * sigma)) / (sigma * math.sqrt(2 * math.pi))
+
+    full = {}
+    for x, y in got:
+        for _, ustar, sigmav, obukhov, wd, umean in rows:
+            s, c = math.sin(math.radians(wd)), math.cos(math.radians(wd))
+            full[x, y] = full.get((x, y), 0.0) + density(x * s + y * c, x * c - y * s, ustar, sigmav, obukhov, umean)
+    total = sum(full.values())
+    assert all(abs(got[k] - v / total) < 1e-13 for k, v in full.items())

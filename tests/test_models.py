@@ -240,3 +240,49 @@ def test_row_folds_agree_with_linear_folds(df):
     slow = models.cross_validate_rows(df, X, "y", evaluate.leave_site(), ols, "o").select("id", F.col("pred").alias("p"))
     fast = linear.cross_validate(df, X, "y", evaluate.leave_site(), [LinearModel("o", tuple(X), "ols")])
     assert fast.join(slow, "id").agg(F.max(F.abs(F.col("pred") - F.col("p"))), F.count("p")).first()[:] == pytest.approx((0, 400), abs=1e-7)
+
+
+def test_month_blocks_are_dealt_by_size(spark):
+    """Largest month first, each into the fold with the fewest rows: a greedy deal by hand."""
+    import datetime
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for site, months in (("a", 17), ("b", 5), ("c", 4)):
+        for m in range(months):
+            day = datetime.date(2000 + m // 12, m % 12 + 1, 1)
+            rows += [(site, day + datetime.timedelta(days=d % 28), float(d)) for d in range(rng.randint(1, 40))]
+    out, _ = evaluate.month_blocks(spark.createDataFrame(rows, "site string, date date, y double"), "date")
+    got = {(r["site"], r["m"]): r["month_fold"] for r in out.select("site", F.trunc("date", "month").alias("m"), "month_fold").distinct().collect()}
+    want = {}
+    for site in "ab":
+        sizes = {}
+        for s, d, _ in rows:
+            if s == site:
+                sizes[d.replace(day=1)] = sizes.get(d.replace(day=1), 0) + 1
+        full = [0] * 5
+        for m, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+            i = full.index(min(full))
+            full[i] += n
+            want[site, m] = i
+    assert got == want
+
+
+def test_huber_of_all_folds_is_the_fit_on_rows(spark):
+    """Against Spark ML's fit on the rows of each fold, with outliers and four features."""
+    import numpy as np
+
+    from brackish.operators import robust
+
+    rng = np.random.default_rng(9)
+    x = rng.normal([0, 10, -3, 0.5], [1, 5, 0.1, 2], (600, 4))
+    y = x @ [1.0, -0.3, 4.0, 0.0] + 2 + rng.normal(0, 0.5, 600) + np.where(rng.random(600) < 0.1, rng.normal(0, 20, 600), 0)
+    cols = ["a", "b", "c", "d"]
+    table = spark.createDataFrame([(i, f"S{i % 3}", *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "id int, site string, a double, b double, c double, d double, y double")
+    oof = robust.cross_validate(table, cols, "y", [evaluate.leave_site()]).toPandas()
+    assert len(oof) == 600 and set(oof["scheme"]) == {"leave_site"}
+    for site in ("S0", "S1", "S2"):
+        slow = models.huber()(table.where(f"site <> '{site}'"), cols, "y")(table.where(f"site = '{site}'")).toPandas().set_index("id")["pred"]
+        fast = oof[oof["site"] == site].set_index("id")["pred"]
+        assert np.allclose(slow.sort_index(), fast.sort_index(), atol=5e-3)
