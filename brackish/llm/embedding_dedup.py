@@ -1,22 +1,24 @@
 """Near copies among vectors by iterative quantisation and multi-index Hamming tables.
 
-Codes: the rotation that makes the signs of centred unit vectors lose least is learned by iterative
-quantisation on at most `SAMPLE` vectors, the first in the order of a hash of their id. Every vector,
-sampled or not, gets a code of one bit per dimension.
+Codes: the rotation that makes the signs of centred unit vectors lose least is learned by iterative quantisation on at
+most `SAMPLE` vectors, the first in the order of a hash of their id. A vector of more than `BITS` dimensions is first
+projected on the sample's `BITS` strongest directions, so a code has at most `BITS` bits and the chance that a bit of two vectors
+differs follows from their angle alone. Every vector, sampled or not, gets a code.
 
-Tables: the code is cut into `CHUNKS` chunks, and each pair of chunks is a table. Two codes meet in a table
-when both its chunks are equal; with seven chunks that is sure up to a Hamming distance of five, and
-likely well beyond. A pair counts in the first table where it meets.
+Tables: the code is cut into `CHUNKS` chunks, and each pair of chunks is a table. Two codes meet in a table when both
+its chunks are equal; at cosine 0.98 a bit differs with probability 0.064 and two of seven chunks of nine bits agree with probability
+0.96, whatever the dimension. The tables hold codes and ids only. A bucket of a single vector is dropped, and of
+buckets with the same members one is kept, that of the first table. A pair counts in the first table where it meets.
 
-Rerank: the vectors of a bucket are compared by cosine in double precision. Equal vectors are
+Rerank: the vectors of the buckets left, and of these only, are compared by cosine in double precision. Equal vectors are
 one before they enter the tables. A bucket is cut into blocks of about `BLOCK` vectors by a hash, and
 each pair of blocks is a group of its own, so no group grows with a bucket. A group returns how many links each
 vector has in it and the smallest vector of its component there; pairs are never written out.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors
 with a null label or id, link with nothing; such a row has no links and is its own component. Vectors
-of different lengths never link. Rows with one id count as one in components. Recall against brute
-force is measured in the tests.
+of different lengths never link. Rows with one id count as one in components. Only the key, vector and label columns are read and
+only the result's columns returned, so others may have any names. Recall against brute force is measured in the tests.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from brackish.llm.tables import components, settle, small
 
-SAMPLE, ROUNDS, CHUNKS, BLOCK, LEAST = 20_000, 30, 7, 1024, 0.98
+SAMPLE, ROUNDS, BITS, CHUNKS, BLOCK, LEAST = 20_000, 30, 64, 7, 1024, 0.98
 
 
 def learn_rotation(vectors: np.ndarray, rounds: int = ROUNDS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -39,6 +41,7 @@ def learn_rotation(vectors: np.ndarray, rounds: int = ROUNDS, seed: int = 5) ->
     center = vectors.mean(0)
     x = vectors - center
     _, axes = np.linalg.eigh(x.T @ x)
+    axes = axes[:, -BITS:]
     x = x @ axes
     turn, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((x.shape[1],) * 2))
     for _ in range(rounds):
@@ -49,7 +52,7 @@ def learn_rotation(vectors: np.ndarray, rounds: int = ROUNDS, seed: int = 5) ->
 
 def _usable(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """(id, label, v) of the vectors that can link."""
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return rows.where("id is not null and label is not null and v is not null").where(finite & F.exists("v", lambda x: x != 0))
 
@@ -68,28 +71,28 @@ def _rotations(rows: DataFrame, sample: int) -> dict[int, tuple[np.ndarray, np.n
 def _units(column: pa.Array) -> list[np.ndarray]:
     out = []
     for v in column:
-        x = v.values.to_numpy(zero_copy_only=False)
+        x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
         x = x / np.abs(x).max()  # so that squares neither overflow nor vanish
         out.append(x / np.sqrt(x @ x))
     return out
 
 
 def _codes(rows: DataFrame, rotations: dict[int, tuple[np.ndarray, np.ndarray]], chunks: int) -> DataFrame:
-    """(id, label, dims, u, chunks): unit vectors and the chunks of their codes."""
+    """(id, label, dims, chunks): the chunks of the codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            units = _units(batch.column(2))
-            parts = []
-            for u in units:
-                # a length that the sample does not hold gets a fixed random rotation
-                center, turn = rotations.get(len(u)) or (0.0, np.random.default_rng(len(u)).standard_normal((len(u), len(u))))
+            parts, dims = [], []
+            for u in _units(batch.column(2)):
+                # a length that the sample does not hold gets fixed random directions
+                center, turn = rotations.get(len(u)) or (0.0, np.random.default_rng(len(u)).standard_normal((len(u), min(len(u), BITS))))
                 bits = ((u - center) @ turn >= 0).astype(np.uint8)
                 parts.append([hash_bits(x) for x in np.array_split(bits, chunks)])
-            arrays = [pa.array([len(u) for u in units], pa.int32()), pa.array(units, pa.list_(pa.float64())), pa.array(parts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["id", "label", "dims", "u", "chunks"])
+                dims.append(len(u))
+            arrays = [pa.array(dims, pa.int32()), pa.array(parts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["id", "label", "dims", "chunks"])
 
-    return rows.select("id", "label", "v").mapInArrow(run, "id long, label string, dims int, u array<double>, chunks array<long>")
+    return rows.select("id", "label", "v").mapInArrow(run, "id long, label string, dims int, chunks array<long>")
 
 
 def hash_bits(bits: np.ndarray) -> int:
@@ -102,7 +105,7 @@ def _compare(group: pa.Table, least: float) -> pa.Table:
     first, second = group.column("first")[0].as_py(), group.column("second")[0].as_py()
     one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
     block = group.column("block").to_numpy()
-    unit = np.stack([np.asarray(x.values) for x in group.column("u").combine_chunks()])
+    unit = np.stack(_units(group.column("v").combine_chunks()))
     chunk = np.stack([np.asarray(x.values) for x in group.column("chunks").combine_chunks()])
     ids, copies = group.column("id").to_numpy(), group.column("copies").to_numpy()
     a, b = np.flatnonzero(block == one), np.flatnonzero(block == two)
@@ -132,15 +135,24 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
     rows = settle(_usable(vectors, key, vector, label))
     # equal vectors are one; a hash of the vector salts nothing here because the count is combined before the shuffle
     reps = settle(rows.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    coded = settle(_codes(reps, _rotations(rows, sample), chunks).join(reps.select("id", "copies", "label"), ["id", "label"]))
+    coded = settle(_codes(reps, _rotations(rows, sample), chunks))
     tables = F.array(*[F.struct(F.lit(i).alias("first"), F.lit(j).alias("second")) for i, j in combinations(range(chunks), 2)])
-    met = coded.select("*", F.explode(tables).alias("t")).select("*", "t.*").drop("t")
-    met = met.withColumn("bucket", F.xxhash64("label", "dims", "first", F.get("chunks", F.col("first")), "second", F.get("chunks", F.col("second"))))
-    sizes = met.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    met = met.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    met = coded.select("id", "label", "dims", "chunks", F.explode(tables).alias("t")).select("*", "t.*")
+    number = (F.col("first") * chunks + F.col("second")).cast("long")  # of the table, in the bucket's low bits, so that tables come in order
+    hashed = F.xxhash64("label", "dims", "first", F.get("chunks", F.col("first")), "second", F.get("chunks", F.col("second")))
+    met = met.select("id", "first", "second", F.shiftleft(F.shiftrightunsigned(hashed, 13), 12).bitwiseOR(number).alias("bucket"))
+    sizes = met.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("members")).where("n > 1")
+    # buckets with the same members would compare the same pairs: the one of the first table stays
+    first_table = F.struct(F.col("bucket").bitwiseAND(4095).alias("table"), "bucket")
+    sizes = sizes.groupBy("n", "members").agg(F.min(first_table)["bucket"].alias("bucket"))
+    sizes = settle(sizes.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    met = settle(met.join(sizes, "bucket"))
+    vectors_of = reps.select("id", "copies", "v").join(coded.select("id", "chunks"), "id")
+    met = met.join(vectors_of, "id").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     # each block meets every block of its bucket, itself included
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = met.withColumn("other", other).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
+    met = met.select("bucket", "first", "second", "one", "two", "block", "id", "copies", "v", "chunks")
     found = met.groupBy("bucket", "first", "second", "one", "two").applyInArrow(lambda g: _compare(g, least), "id long, links long, low long")
     found = settle(found.groupBy("id", "low").agg(F.sum("links").alias("links")))
 
