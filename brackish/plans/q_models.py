@@ -479,7 +479,7 @@ def selection(v, path=None):
     kept, _ = features.vif_elimination(features.moments(rows, every, "y"), 10.0)
     linear_zoo = [LinearModel("ridge", (), "ridge", 10.0), LinearModel("elastic", (), "elastic", 0.05, 0.3), LinearModel("pls", (), "pls", components=2)]
     tree_zoo = [trees.extra(trees=5, depth=5), trees.boosted(rounds=5, rate=0.5)]
-    return models.select_model(rows, {"full": every, "pruned": kept}, "y", schemes, linear_zoo, tree_zoo, [10], path)
+    return models.select_model(rows, {"full": every, "pruned": kept}, "y", schemes, linear_zoo, tree_zoo, path=path)
 
 
 @query("l14_l17_model_ranking")
