@@ -53,6 +53,17 @@ def _(v):
     return day.select("site", "date", *[r(c) for c in ROUNDED], r(ratio, "EBR"), "CLOSURE")
 
 
+@query("e6_best_daily_et")
+def _(v):
+    """Every route for some sites: published days for those of even name length, closed half hours for the rest, raw files below both."""
+    from brackish.plans.daily_et import best_daily_et
+
+    rows = v.flux_hh
+    even = F.length("site") % 2 == 0
+    days = rows.where(even & F.col("LE").isNotNull()).groupBy("site", "date").agg(F.avg(F.col("LE") * 1.1).alias("LE_closed"), F.avg("LE").alias("LE_open"), F.avg("TA").alias("TA_C"))
+    return best_daily_et(days, rows.where("site < 'm'"), rows, min_coverage=COVERAGE, date=F.col("date"))
+
+
 @query("q2_first_column", f"SELECT site, slot, {rsql('H', 'value')} FROM flux_hh")
 def _(v):
     from brackish.functions.names import first_col

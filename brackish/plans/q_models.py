@@ -153,6 +153,32 @@ def _(v):
     return a.unionByName(b).select("sites", "n", *[r(m) for m in METRICS])
 
 
+def schemes_sql(sites, table, filtered):
+    """Scores of the line under the three schemes over one set of sites."""
+    folded = f"folded AS (SELECT *, {HASH10} AS fold FROM {table})"
+    parts = [
+        ("kfold", f"WITH {filtered}{folded}, {line_oof('fold', table='folded')} {score_sql('oof')}"),
+        ("leave_year", f"WITH {filtered}{line_oof('site, year', 'site', 'n_test >= 5 AND n_train >= 15', table=table)} {score_sql('oof')}"),
+        ("leave_site", f"WITH {filtered}{line_oof('site', '', 'n_test >= 5', table=table)} {score_sql('oof')}"),
+    ]
+    return " UNION ALL ".join(f"SELECT '{sites}' AS sites, '{name}' AS scheme, * FROM ({sql})" for name, sql in parts)
+
+
+@query(
+    "v13_diversity_three_schemes",
+    schemes_sql("few", "few", "few AS (SELECT * FROM samples WHERE site IN ('P0', 'P1', 'P2', 'P3', 'P4')), ") + " UNION ALL " + schemes_sql("all", "samples", ""),
+)
+def _(v):
+    rows, schemes = three_schemes(v)
+    out = None
+    for name, part in (("few", rows.where(F.col("site").isin("P0", "P1", "P2", "P3", "P4"))), ("all", rows)):
+        for scheme in schemes:
+            scores = evaluate.metrics(linear.cross_validate(part, X, "y", scheme, [LINE]), [])
+            scores = scores.select(F.lit(name).alias("sites"), F.lit(scheme.name).alias("scheme"), "n", *[r(m) for m in METRICS])
+            out = scores if out is None else out.unionByName(scores)
+    return out
+
+
 @query(
     "v14_support_test",
     f"""WITH t AS (SELECT site, scene, window_m, avg(NDVI) AS x1, avg(LST) AS y FROM strict JOIN (SELECT unnest([90, 250]) AS window_m) ON greatest(abs(px_x), abs(px_y)) <= window_m / 2.0 GROUP BY 1, 2, 3 HAVING avg(NDVI) IS NOT NULL AND avg(LST) IS NOT NULL),
@@ -514,6 +540,39 @@ def _(v):
     return out.select("region", "site", "date", "inside_px", "water_px", "pixels", r("mean_ET"), r("min_ET"), r("max_ET"))
 
 
+@query(
+    "r15_l16_map_of_best_scenes",
+    f"""WITH picks AS (SELECT region, scene FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY tier, cloud, scene) AS k FROM (SELECT DISTINCT CAST(substr(site, 2) AS BIGINT) % 5 AS region, scene, scene * 7 % 40 AS cloud,
+    CASE WHEN scene * 7 % 40 < 8 THEN 0 WHEN scene * 7 % 40 < 15 THEN 1 WHEN scene * 7 % 40 < 25 THEN 2 END AS tier FROM pixels) WHERE tier IS NOT NULL) WHERE k = 1),
+    q AS (SELECT site, scene, date, pos, px_x, px_y, avg(CASE WHEN qa & 62 = 0 THEN red END) AS rd, avg(CASE WHEN qa & 62 = 0 THEN nir END) AS nr, avg(CASE WHEN qa & 62 = 0 THEN green END) AS gr,
+    avg(CASE WHEN qa & 62 = 0 THEN swir END) AS sw, avg(CASE WHEN qa & 62 = 0 THEN LST END) AS LST_K FROM pixels GROUP BY ALL),
+    p AS (SELECT *, CASE WHEN n + r > 0.02 THEN CASE WHEN (n - r) / (n + r) < -1 THEN -1 WHEN (n - r) / (n + r) > 1 THEN 1 ELSE (n - r) / (n + r) END END AS NDVI,
+    CASE WHEN g + s > 0.02 THEN CASE WHEN (g - s) / (g + s) < -1 THEN -1 WHEN (g - s) / (g + s) > 1 THEN 1 ELSE (g - s) / (g + s) END END AS MNDWI FROM
+    (SELECT *, CASE WHEN rd > 0 THEN rd END AS r, CASE WHEN nr > 0 THEN nr END AS n, CASE WHEN gr > 0 THEN gr END AS g, CASE WHEN sw > 0 THEN sw END AS s FROM q)),
+    z AS (SELECT region, scene, site, date, coalesce(MNDWI > 0 AND NDVI < 0.10, false) AS water, CASE WHEN NOT coalesce(MNDWI > 0 AND NDVI < 0.10, false) THEN 1 + 2 * NDVI + 0.1 * (LST_K - 290) END AS et
+    FROM p JOIN inside USING (pos) JOIN picks USING (region, scene))
+    SELECT region, site, scene, date, count(*) AS inside_px, count(CASE WHEN water THEN 1 END) AS water_px, count(et) AS pixels, {rsql('avg(et)', 'mean_ET')}, {rsql('min(et)', 'min_ET')}, {rsql('max(et)', 'max_ET')} FROM z GROUP BY 1, 2, 3, 4""",
+)
+def _(v):
+    from brackish.plans.region_map import best_scene_map, map_summary
+
+    of_site = F.expr("cast(substring(site, 2) as bigint) % 5")
+    scenes = v.pixels.groupBy(of_site.alias("region"), "scene").agg(
+        (F.col("scene") * 7 % 40).alias("cloud"),
+        *[e(c).alias(n) for c, lo, hi in (("px_x", "x_lo", "x_hi"), ("px_y", "y_lo", "y_hi")) for e, n in ((F.min, lo), (F.max, hi))],
+        F.lit(5).alias("n_assets"),
+    )
+    regions = v.edges.select("region").distinct().select("region", F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"), F.lit(5).alias("need"))
+    met = v.pixels.select("site", "date").distinct()
+
+    def predict(df):
+        return df.withColumn("pred", F.col("NDVI") * 2 + 1 + (F.col("LST_K") - 290) * 0.1)
+
+    looks, edges = (t.withColumn("zone", F.lit(0)) for t in (v.pixels, v.edges))
+    out = map_summary(best_scene_map(looks, scenes, regions, edges, met, ["NDVI", "LST_K"], predict, ["zone"]), ("site", "scene", "date"))
+    return out.select("region", "site", "scene", "date", "inside_px", "water_px", "pixels", r("mean_ET"), r("min_ET"), r("max_ET"))
+
+
 @query("l14_l15_l16_saved_forest")
 def _(v):
     import uuid
