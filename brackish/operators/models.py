@@ -25,6 +25,7 @@ from brackish.session import settle
 
 Predictor = Callable[[DataFrame], DataFrame]
 Fitter = Callable[[DataFrame, Sequence[str], str], Predictor]
+Model = linear.LinearModel | trees.TreeModel
 
 FAMILIES = {
     "ols": "linear",
@@ -187,17 +188,28 @@ def priestley_taylor(df: DataFrame, scheme: Scheme, alpha: float | None = None)
     return fold_mean(df, "alpha", scheme, "_a").withColumn("pred", F.col("_a") * F.col("ET_eq")).drop("_a")
 
 
+def cross_validate(df: DataFrame, features: Sequence[str], target: str, schemes: Sequence[Scheme], models: Sequence[Model]) -> DataFrame:
+    """Held-out predictions of linear models and trees under every scheme: the columns of `df`, `model`, `scheme` and `pred`."""
+    lines = [m for m in models if isinstance(m, linear.LinearModel)]
+    ensembles = [m for m in models if isinstance(m, trees.TreeModel)]
+    parts = [linear.cross_validate(df, features, target, s, lines) for s in schemes] if lines else []
+    if ensembles:
+        parts.append(trees.cross_validate(df, features, target, schemes, ensembles))
+    kept = [*df.columns, "model", "scheme", "pred"]
+    return reduce(DataFrame.unionByName, [p.select(*kept) for p in parts])
+
+
 def cross_validate_ratio(
     df: DataFrame,
     features: Sequence[str],
     ratio: str,
     energy: str,
     scheme: Scheme,
-    models: Sequence[linear.LinearModel],
+    models: Sequence[Model],
     hi: float = 1.2,
 ) -> DataFrame:
     """Learn a ratio, score ET: held-out ratios are clipped and multiplied by their energy term."""
-    oof = linear.cross_validate(df, features, ratio, scheme, models)
+    oof = cross_validate(df, features, ratio, [scheme], models)
     return oof.withColumn("pred", evaluate.et_from_fraction(F.col("pred"), F.col(energy), hi))
 
 
@@ -207,12 +219,12 @@ def cross_validate_kc(
     et: str,
     eto: str,
     scheme: Scheme,
-    models: Sequence[linear.LinearModel],
+    models: Sequence[Model],
     floor: float = 0.3,
 ) -> DataFrame:
     """Learn the crop coefficient, score ET."""
     rows = df.withColumn("_kc", F.col(et) / clip(F.col(eto), floor))
-    oof = linear.cross_validate(rows, features, "_kc", scheme, models)
+    oof = cross_validate(rows, features, "_kc", [scheme], models)
     return oof.withColumn("pred", evaluate.et_from_crop_coefficient(F.col("pred"), F.col(eto), floor)).drop("_kc")
 
 
