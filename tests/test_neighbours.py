@@ -80,3 +80,33 @@ def test_folds_of_schemes(spark):
         d = np.sqrt(((z[use] - z[r.id]) ** 2).sum(1))
         best = np.argsort(d)[:3]
         assert r.pred == pytest.approx((y[use][best] / d[best]).sum() / (1 / d[best]).sum())
+
+
+def test_boxes_within_a_cell():
+    """Few of the pairs of one cell are compared, with all folds, copies and a row far off; a fold may hold all near rows."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0, 1, (6000, 2)), np.repeat([[0.5, 0.5]], 40, axis=0), [[1e7, -1e7]]])
+    n = len(x)
+    y, fold = rng.permutation(n).astype(float), np.where(x[:, 0] > 1, 3, rng.integers(0, 3, n))
+    best, pairs = neighbours.search(x, y, fold, x, fold, np.full(n, np.inf), 5)
+    assert pairs < 0.15 * n * n
+    for i in [*range(0, n, 97), n - 2, n - 1]:
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[fold == fold[i]] = np.inf
+        order = np.lexsort((y, d))[:5]
+        assert (best.imag[i] == y[order]).all() and best.real[i] == pytest.approx(d[order])
+
+
+def test_near_points_far_from_the_origin():
+    """Bounds of cells must not lose the distances of near points to cancellation."""
+    cells = neighbours.Cells({0: np.array([[1e6, 1e6], [0.0, 0.0]])})
+    assert cells.distances(0, np.array([[1e6, 1e6 + 1e-4]]))[0, 0] == pytest.approx(1e-4, rel=1e-4)
+
+
+def test_equal_questions_are_asked_once(spark):
+    x = np.repeat([[0.0, 0.0], [1.0, 0.0], [0.0, 2.0]], 40, axis=0)
+    y, fold = np.arange(120.0), np.arange(120) % 2
+    table = frame(spark, x, y, fold)
+    assert neighbours.nearest_of_points(table, table, X, 3).count() == 6
+    got = {r["_row"]: [(z.d, z.y) for z in r["_near"]] for r in neighbours.nearest(table, table, X, 3).collect()}
+    assert got == brute(x, y, fold, np.zeros(120), 3)
