@@ -50,10 +50,14 @@ def component_rn(sw_in: Column, sw_out: Column, lw_in: Column, lw_out: Column) -
 
 
 def clip(value: Column, lo: float | None = None, hi: float | None = None) -> Column:
-    """Bounds that keep null as null (`greatest` and `least` skip nulls)."""
+    """Bounds that keep null as null (`greatest` and `least` skip nulls).
+
+    The value is written out twice at most: filters that are pushed below it repeat it as often, and a stage whose
+    code grows too long is interpreted.
+    """
     out = value
     if lo is not None:
-        out = F.when(out < lo, F.lit(float(lo))).otherwise(out)
+        out = F.greatest(out, F.lit(float(lo)))
     if hi is not None:
-        out = F.when(out > hi, F.lit(float(hi))).otherwise(out)
-    return out
+        out = F.least(out, F.lit(float(hi)))
+    return F.when(value.isNotNull(), out)

@@ -83,17 +83,18 @@ def fixed_split(
 
 def metrics(oof: DataFrame, by: Sequence[str] = (), y: str = "y", pred: str = "pred", min_n: int = 1) -> DataFrame:
     """Scores pooled over all held-out rows: the total spread is taken around their common mean."""
-    both = oof.where(F.col(y).isNotNull() & F.col(pred).isNotNull())
-    err = F.col(pred) - F.col(y)
-    n = F.count(F.lit(1))
+    # no filter on predictions: it would be pushed below them and repeat their expressions
+    both = oof.select(*by, (F.col(pred) - F.col(y)).alias("_err"), F.col(y).alias("_y"))
+    err = F.col("_err")
+    n = F.count(err)
     out = both.groupBy(*by).agg(
         n.alias("n"),
-        (1 - F.try_divide(F.sum(err * err), F.var_pop(y) * n)).alias("r2"),
+        (1 - F.try_divide(F.sum(err * err), F.var_pop(F.when(err.isNotNull(), F.col("_y"))) * n)).alias("r2"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.avg(F.abs(err)).alias("mae"),
         F.avg(err).alias("bias"),
     )
-    return out.where(F.col("n") >= min_n)
+    return out.where(F.col("n") >= max(min_n, 1 if by else 0))
 
 
 def line_of_fit(oof: DataFrame, by: Sequence[str] = (), y: str = "y", pred: str = "pred") -> DataFrame:

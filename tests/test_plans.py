@@ -4,8 +4,10 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from brackish.operators import flux, series
+from brackish.functions.energy import clip
+from brackish.operators import energy_supply, evaluate, flux, series
 from brackish.plans.daily_et import daily_et, processing_report
 from brackish.plans.views import Views
 
@@ -52,3 +54,21 @@ def test_gates_stay_in_one_stage(spark):
     text = plan(flux.close_balance(flux.qc_gates(spark.read.parquet(f"{FOLDER}/orders.parquet").selectExpr(
         "o_totalprice LE", "o_totalprice H", "o_totalprice NETRAD", "o_totalprice G", "o_totalprice TA", "o_totalprice USTAR", "o_orderkey QC"))))
     assert "Exchange" not in text and "Python" not in text
+
+
+def test_filters_do_not_multiply_expressions(spark):
+    """Stages whose generated code grows too long are interpreted: bounds and scores must not repeat what they read."""
+    rows = spark.range(10).selectExpr("id % 2 AS site", "double(id) AS ET", "100.0D + id AS NETRAD", "0.0D AS G", "double(id) AS TA_C")
+    rows = energy_supply.energy_terms(rows).dropna(subset=["alpha"])
+    oof = rows.withColumn("pred", evaluate.et_from_fraction(F.col("alpha") * 0.9, F.col("ET_eq"), 1.6))
+    text = plan(evaluate.metrics(oof, ["site"], "ET"))
+    assert text.count("EXP(") <= 10
+
+
+def test_bounds_and_scores_keep_null(spark):
+    rows = spark.createDataFrame([(0, -1.0, 1.0), (0, 0.5, 0.0), (0, 9.0, None), (0, None, 1.0), (0, float("nan"), 2.0), (1, None, 1.0)], "site int, v double, y double")
+    rows = rows.withColumn("pred", clip(F.col("v"), 0, 2))
+    assert [r["pred"] for r in rows.collect()] == [0.0, 0.5, 2.0, None, 2.0, None]
+    (row,) = evaluate.metrics(rows, ["site"]).collect()
+    assert (row["site"], row["n"], row["mae"], row["bias"]) == (0, 3, 0.5, pytest.approx(-0.5 / 3))
+    assert evaluate.metrics(rows.where("site = 1")).count() == 0
