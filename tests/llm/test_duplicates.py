@@ -183,3 +183,29 @@ def test_recall_of_links_at_any_dimension(spark, dims):
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link(table).collect()}
     assert len(got) == 500 and all(got[i] in ((0, i), (1, i - i % 2)) for i in got)
     assert sum(n for n, _ in got.values()) >= 0.9 * 500
+
+
+def test_sample_of_vectors_does_not_grow_with_tasks(spark):
+    """What reaches the driver are the vectors below a hash, and not the first of every task; small buckets share a group."""
+    rows = spark.range(0, 20_000, 1, 40).selectExpr("id", "cast(id % 3 as string) label", "array(cast(id as double), 1.0) v")
+    sent = []
+    plain = type(rows).toArrow
+    type(rows).toArrow = lambda self: (lambda out: (sent.append(out.num_rows), out)[1])(plain(self))
+    try:
+        got = embedding_dedup._sampled(rows, 300)
+    finally:
+        type(rows).toArrow = plain
+    assert got.num_rows == 300 and sent[0] < 600
+    hashes = sorted(r.h for r in rows.selectExpr("xxhash64(id, v, label) h").collect())
+    assert got.column("h").to_pylist() == hashes[:300]
+    assert embedding_dedup._sampled(rows.limit(5), 300).num_rows == 5
+
+
+def test_buckets_in_one_group_are_compared_apart():
+    import pyarrow as pa
+
+    e = [[1.0, 0.0], [1.0, 0.01], [1.0, 0.02]]
+    rows = {"bucket": [7, 7, 9, 9, 9], "first": [0, 0, 0, 0, 0], "second": [1, 1, 2, 2, 2], "one": [0] * 5, "two": [0] * 5, "block": [0] * 5, "id": [5, 3, 3, 5, 8], "copies": [1, 2, 2, 1, 4], "v": [e[0], e[1], e[1], e[0], e[2]], "chunks": [[1, 1, 4], [1, 1, 4], [1, 1, 4], [1, 1, 4], [1, 2, 4]]}
+    got = embedding_dedup._compare(pa.table({**rows, "id": pa.array(rows["id"], pa.int64()), "copies": pa.array(rows["copies"], pa.int64())}), 0.98).to_pylist()
+    # 3 and 5 meet in the table of chunks 0 and 1 already, 8 only in that of 0 and 2
+    assert sorted((r["id"], r["links"], r["low"]) for r in got) == [(3, 1, 3), (3, 4, 3), (5, 2, 3), (5, 4, 3), (8, 3, 3)]
