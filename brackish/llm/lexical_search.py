@@ -6,7 +6,7 @@ floor(1000 * ln((2N + 2) / (2 df + 1))) and m = 10 + (90 * n * N) div L; N count
 their terms, n the document's terms.
 
 Index: about `BLOCK_BYTES` of text make one block, a row with its terms, their postings and the lengths of its
-documents. N, L and df come from the blocks by aggregation.
+documents. N, L and df come from the blocks by aggregation. Row groups of the settled index hold a few blocks, so that no task holds more.
 
 Search: queries are cut into blocks of about `QUERIES`, and every block of queries meets every `GROUP_BLOCKS` blocks of
 documents as one group. A group takes each query's terms rarest first and keeps an accumulator a document. Once the
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brackish.llm.tables import settle, small
+from brackish.llm.tables import LARGE_ROWS, settle, small
 
 K, BLOCK_BYTES, GROUP_BLOCKS, QUERIES = 10, 1 << 20, 6, 1024
 #: Between terms: ASCII characters other than digits and letters.
@@ -95,7 +95,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
 
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     shape = "ids binary, named binary, lengths binary, n_docs long, n_terms long, terms array<string>, df array<long>, post_doc binary, post_tf binary"
-    return settle(rows.mapInArrow(run, shape))
+    return settle(rows.mapInArrow(run, shape), **LARGE_ROWS)
 
 
 def weigh(blocks: DataFrame, queries: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:

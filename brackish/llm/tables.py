@@ -17,6 +17,15 @@ WHILE_WRITING = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
 
+#: For rows of some MB: a row group, which tasks hold whole when they write and when they read, ends after a few of them, and not after 100 at least.
+LARGE_ROWS = {
+    "parquet.block.size": str(8 << 20),
+    "parquet.block.size.row.check.min": "1",
+    "parquet.block.size.row.check.max": "4",
+    "parquet.page.size.row.check.min": "1",
+    "parquet.page.size.row.check.max": "4",
+}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -45,10 +54,10 @@ def _settings(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, **options: str) -> DataFrame:
     """Write `df` to the shared folder and read it back, under the settings above."""
     with _settings(df.sparkSession):
-        return _write(df)
+        return _write(df, **options)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -71,8 +71,8 @@ def work_folder(spark: SparkSession) -> str:
     return _JOB.get() or durable_folder(spark).rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write `df` once and read it back.
+def settle(df: DataFrame, **options: str) -> DataFrame:
+    """Write `df` once, with these options of the writer, and read it back.
 
     Three uses: the result is computed once however often it is used, it
     survives a lost executor, and its true size is known to the planner,
@@ -80,5 +80,5 @@ def settle(df: DataFrame) -> DataFrame:
     and shuffles it above - no broadcast hint is needed anywhere.
     """
     path = f"{work_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

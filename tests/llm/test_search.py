@@ -60,6 +60,18 @@ def test_search_on_odd_rows(spark, block_bytes, groups, per_block):
     assert plain(got) == brute([r[:2] for r in rows], items)
 
 
+def test_tasks_hold_few_blocks_of_the_index(spark):
+    """A row group, which a task holds whole, ends after a few blocks and not after a hundred."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(1 << 40):x}" for _ in range(3000)), None, None, None) for i in range(400)]
+    blocks = lexical_search.index(docs(spark, rows).repartition(1), block_bytes=1 << 18)
+    metas = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+    groups = [m.row_group(i) for m in metas for i in range(m.num_row_groups)]
+    assert blocks.count() > 40 and max(g.total_byte_size for g in groups) < 24 << 20 and len(groups) > 1
+
+
 def test_accumulators_stop(spark):
     """Once the rest cannot reach the best, common terms make no accumulator, and scores stay exact."""
     rng = random.Random(5)
