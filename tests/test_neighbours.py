@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from brackish import session
 from brackish.operators import evaluate, models, neighbours
 from brackish.operators.evaluate import Scheme
 
@@ -110,3 +111,20 @@ def test_equal_questions_are_asked_once(spark):
     assert neighbours.nearest_of_points(table, table, X, 3).count() == 6
     got = {r["_row"]: [(z.d, z.y) for z in r["_near"]] for r in neighbours.nearest(table, table, X, 3).collect()}
     assert got == brute(x, y, fold, np.zeros(120), 3)
+
+
+def test_searches_leave_only_their_predictions(spark, tmp_path, monkeypatch):
+    """Known rows, cells and neighbours of a search are removed before the next; its shuffle files end with it."""
+    import os
+
+    rng = np.random.default_rng(8)
+    rows = [(i, f"s{i % 3}", i % 4, *map(float, rng.normal(size=2)), float(rng.normal())) for i in range(240)]
+    df = spark.createDataFrame(rows, "id int, site string, fold int, a double, b double, y double")
+    schemes = [Scheme("by_fold", ("fold",)), Scheme("by_site", ("site",))]
+    monkeypatch.setattr(session, "durable_folder", lambda _: f"{tmp_path}")
+    with session.job(spark) as folder:
+        oof = models.cross_validate_knn(df, ["a", "b"], "y", schemes, 3)
+        assert len(os.listdir(folder)) == 1 + len(schemes)  # the rows and a table of predictions a scheme
+        assert sorted(os.listdir(tmp_path)) == [os.path.basename(folder)]
+        assert oof.count() == 2 * len(rows)
+    assert os.listdir(tmp_path) == []
